@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from taleforge.llm.bpe import encode_table
+from taleforge.llm.license_scan import license_scan
 from taleforge.llm.ngram_jaccard import ngram_jaccard
+from taleforge.llm.sharding import shard
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_documents(spark, sf_dir), shards=24)[0]
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+    return ngram_jaccard(_documents(spark, sf_dir), n=4, num=85, den=100)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
+def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_table(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_virtual_slots, op4_ngram_jaccard, op5_license_scan, op7_streaming_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
