@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taleforge.llm.bpe import encode_table
+from taleforge.llm.language_id import fit, identify
 from taleforge.llm.license_scan import license_scan
 from taleforge.llm.ngram_jaccard import ngram_jaccard
+from taleforge.llm.packing import pack
 from taleforge.llm.sharding import shard
 
 
@@ -33,8 +36,19 @@ def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op9_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = fit(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=~held_out)
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op4_ngram_jaccard, op5_license_scan, op7_streaming_bpe)}
+    return {f.__name__: f for f in (op1_virtual_slots, op4_ngram_jaccard, op5_license_scan, op7_streaming_bpe, op9_piece_language, op10_cutting_stock)}
 
 
 def oracle_sql() -> dict[str, str]:
