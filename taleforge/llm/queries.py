@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taleforge.llm.bloom_lm import score
 from taleforge.llm.bpe import encode_table
 from taleforge.llm.language_id import fit, identify
 from taleforge.llm.license_scan import license_scan
@@ -32,6 +33,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    out = score(_documents(spark, sf_dir), train=~held_out)
+    return out.withColumn("held_out", ~F.col("trained")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
@@ -48,7 +55,7 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op4_ngram_jaccard, op5_license_scan, op7_streaming_bpe, op9_piece_language, op10_cutting_stock)}
+    return {f.__name__: f for f in (op1_virtual_slots, op4_ngram_jaccard, op5_license_scan, op6_bloom_lm, op7_streaming_bpe, op9_piece_language, op10_cutting_stock)}
 
 
 def oracle_sql() -> dict[str, str]:
