@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taleforge.llm import quality_cotraining as quality
+from taleforge.llm.additive_quantisation import nearest
 from taleforge.llm.bloom_lm import score
 from taleforge.llm.bpe import encode_table
 from taleforge.llm.language_id import fit, identify
@@ -25,6 +27,16 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir), shards=24)[0]
 
 
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).select("doc_id", "p_text", "p_page", "quality_score", "keep")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_documents(spark, sf_dir), n=4, num=85, den=100)
 
@@ -55,7 +67,7 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op4_ngram_jaccard, op5_license_scan, op6_bloom_lm, op7_streaming_bpe, op9_piece_language, op10_cutting_stock)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_additive_quantisation, op3_quality_cotraining, op4_ngram_jaccard, op5_license_scan, op6_bloom_lm, op7_streaming_bpe, op9_piece_language, op10_cutting_stock)}
 
 
 def oracle_sql() -> dict[str, str]:
