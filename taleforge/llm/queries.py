@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from taleforge.llm import quality_cotraining as quality
 from taleforge.llm.additive_quantisation import nearest
+from taleforge.llm.audio_fingerprint import alignments, fingerprints, recordings
 from taleforge.llm.bloom_lm import score
 from taleforge.llm.bpe import encode_table
+from taleforge.llm.common import stash
 from taleforge.llm.language_id import fit, identify
 from taleforge.llm.license_scan import license_scan
 from taleforge.llm.ngram_jaccard import ngram_jaccard
@@ -55,6 +57,19 @@ def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op8_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding played as a recording; excerpts with noise of every fiftieth are found again among all."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    prints = stash(fingerprints(recordings(rows)), "audio-prints")
+    asked = stash(fingerprints(recordings(rows, queries=F.col("vec_id") % 50 == 0)), "audio-asked")
+    found = alignments(asked, prints).groupBy("match_id").agg(F.count("*").alias("n_aligned"), F.min(F.struct("bit_error", "query_id", "offset", "overlap")).alias("b"))
+    out = prints.join(found, prints.id == found.match_id, "left")
+    return out.select(
+        F.col("id").alias("vec_id"), "n_codes", F.crc32("codes").alias("codes_crc32"), F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"),
+        F.col("b.query_id").alias("query_id"), F.col("b.offset").alias("offset"), F.col("b.bit_error").alias("bit_error"), F.col("b.overlap").alias("overlap"),
+    )
+
+
 def op9_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
@@ -67,7 +82,7 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_virtual_slots, op2_additive_quantisation, op3_quality_cotraining, op4_ngram_jaccard, op5_license_scan, op6_bloom_lm, op7_streaming_bpe, op9_piece_language, op10_cutting_stock)}
+    return {f.__name__: f for f in (op1_virtual_slots, op2_additive_quantisation, op3_quality_cotraining, op4_ngram_jaccard, op5_license_scan, op6_bloom_lm, op7_streaming_bpe, op8_chroma_fingerprint, op9_piece_language, op10_cutting_stock)}
 
 
 def oracle_sql() -> dict[str, str]:
