@@ -24,3 +24,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register the library's own queries."""
+    from taleforge.plans import entity_queries, progress_queries, segment_queries  # noqa: F401
