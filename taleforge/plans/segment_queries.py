@@ -298,3 +298,49 @@ def batches_of_12(spark, d):
     """W13."""
     w = W.partitionBy("p_brand").orderBy("p_partkey")
     return table(spark, d, "part").select("p_partkey", F.floor((F.row_number().over(w) - 1) / 12).cast("int").alias("batch"), "p_brand")
+
+
+@query("page_blocks")
+def page_blocks(spark, d):
+    """The blocks of all pages; tested on fixtures, the page format has no SQL parser."""
+    from taleforge.sources.readers import page_blocks as blocks
+
+    rows = blocks(table(spark, d, "pages"), key="page_id")
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("seg_pieces")
+def seg_pieces(spark, d):
+    """Sentences of all documents, long ones cut; tested against the limit and on fixtures."""
+    from taleforge.functions.splitting import long_sentence_udf
+
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(ops.sentences(F.col("text"))).alias("k", "s"))
+    p = s.select("doc_id", F.explode(long_sentence_udf()("s")).alias("p"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("p")).alias("longest"), F.sum(F.length("p")).alias("chars"))
+
+
+@query("chapter_chunks")
+def chapter_chunks(spark, d):
+    """Whole documents cut to chunks of 4,000 characters."""
+    from taleforge.functions.splitting import chapter_chunks_udf
+
+    c = table(spark, d, "documents").select("doc_id", F.explode(chapter_chunks_udf(4000)("text")).alias("c"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("c")).alias("chars"))
+
+
+@query("model_envelope")
+def model_envelope(spark, d):
+    """M1, M3-M9: one call for each distinct chapter text, answers by a deterministic stub."""
+    from taleforge.operators.models import called
+
+    texts = ops.chapter_text(seg(spark, d))
+    done = called(texts, key="chapter", prompt="chapter_text", stage="extraction", required=("answer", "confidence"))
+    return done.select("chapter", "cache_key", F.get_json_object("response", "$.answer").alias("answer"), "calls")
+
+
+@query("synthesis_run")
+def synthesis_run(spark, d):
+    """Every segment through the engine interface."""
+    from taleforge.operators.models import synthesized
+
+    return synthesized(seg(spark, d).select("id", "text", "speaker", F.lit("narrator.wav").alias("clip")))
