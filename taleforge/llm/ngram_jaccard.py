@@ -122,6 +122,27 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(total)
 
 
+def _plausible(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for the overlap that is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
+            least = np.empty(len(m), np.int64)
+            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                if len(x) != len(y):  # fold the wider one
+                    w = min(len(x), len(y))
+                    x, y = (np.bitwise_or.reduce(z.reshape(-1, w), axis=0) for z in (x, y))
+                least[i] = min(m[i] - int(np.bitwise_count(x & ~y).sum()), n[i] - int(np.bitwise_count(y & ~x).sum()))
+            yield b.select(["a", "b"]).filter(pa.array(least >= needed_overlap(m, n, num, den)))
+
+    named = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    marks = sketch.where("size > 0").select("cid", "size", "sig").join(named, "cid", "left_semi").dropDuplicates(["cid"])
+    x, y = marks.toDF("a", "m", "x"), marks.toDF("b", "n", "y")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int, name: str) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity. Sets are made again from the texts of the classes named."""
     pairs = stash(pairs, f"{name}-pairs")
@@ -248,6 +269,7 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     center = runs.alias("r").join(groups.select(F.col("cid").alias("least"), F.col("size").alias("s2")), "least").where("cid <> least").select("cid", F.col("least").alias("c2"), "size", "s2")
     chain = near.where("next is not null").select("cid", F.col("next.cid").alias("c2"), "size", F.col("next.size").alias("s2"))
     first = center.union(chain).where(fits).select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct()
+    first = _plausible(stash(first, f"{name}-near"), sketch, num, den)
     links = _verified(first, groups, docs, text_col, n, num, den, f"{name}-first")
     roots = stash(components(links, f"{name}-first"), f"{name}-roots")
 
