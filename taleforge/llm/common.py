@@ -162,7 +162,7 @@ def packed_groups(slots: np.ndarray, columns: list[np.ndarray]) -> Iterator[tupl
         yield int(slots[a]), [c[a:b] for c in columns]
 
 
-def rebatched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def rebatched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of the text column at most (a longer row stands alone)."""
     for batch in batches:
         raw, offsets = text_bytes(batch.column(column))
