@@ -86,7 +86,8 @@ def quote_parts(text: Column) -> Column:
     straight = F.regexp_extract_all(text, F.lit('("[^"]*(?:"|$)|[^"]+)'), 1)
     parts = F.when(text.rlike("[“”]"), curly).otherwise(straight)
     stripped = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, f"^[{SPACE}]+|[{SPACE}]+$", "")), lambda p: p != "")
-    typed = F.transform(stripped, lambda p: F.struct(F.when(F.left(p, F.lit(1)).isin(CURLY_OPEN, '"'), "dialogue").otherwise("narration").alias("type"), p.alias("text")))
+    mark = F.when(text.rlike("[“”]"), CURLY_OPEN).otherwise('"')
+    typed = F.transform(stripped, lambda p: F.struct(F.when(F.left(p, F.lit(1)) == mark, "dialogue").otherwise("narration").alias("type"), p.alias("text")))
     whole = F.array(F.struct(F.lit("dialogue").alias("type"), text.alias("text")))
     return F.when(F.size(typed) <= 1, whole).otherwise(typed)
 

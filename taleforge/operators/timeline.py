@@ -15,7 +15,7 @@ def chapter_offsets(chapters: DataFrame, *, book: str, order: str = "chapter", d
 
 
 def markers(chapters: DataFrame, *, book: str, order: str = "chapter") -> DataFrame:
-    """Chapter marks with ids chp001 on and times in whole milliseconds."""
+    """Chapter marks with ids chp000 on and times in whole milliseconds."""
     n = F.row_number().over(W.partitionBy(book).orderBy(order))
     return chapters.select(book, order, F.format_string("chp%03d", n - 1).alias("mark"), F.floor(F.col("start_at") * 1000).cast("bigint").alias("start_ms"), F.floor(F.col("end_at") * 1000).cast("bigint").alias("end_ms"))
 

@@ -163,7 +163,7 @@ def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
         rows = spark.read.option("sep", "|").option("escape", '"').option("mode", "PERMISSIVE").schema("speaker string, traits string, more string").csv(path)
         lines = spark.read.text(path).limit(1).count()  # raises for a missing file even before the first action
         rows = rows.where(F.col("traits").isNotNull() & F.col("more").isNull()) if lines else rows.limit(0)
-        rows = rows.select(F.trim("speaker").alias("speaker"), F.lit(k).alias("annotator"), F.filter(F.transform(F.split("traits", ","), F.trim), lambda t: t != "").alias("traits"))
+        rows = rows.select(F.trim("speaker").alias("speaker"), F.lit(k).alias("annotator"), F.filter(F.transform(F.split("traits", ","), lambda t: F.trim(t)), lambda t: t != "").alias("traits"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no annotators' files")
@@ -172,7 +172,7 @@ def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def piped_metadata(lines: DataFrame, *, text: str = "value", order: str = "pos") -> DataFrame:
     """S8: 'key | x | value' lines to (key, value); comments begin with ';', the last line of a key counts."""
-    parts = F.transform(F.split(F.trim(text), r"\|"), F.trim)
+    parts = F.transform(F.split(F.trim(text), r"\|"), lambda p: F.trim(p))
     rows = lines.where((F.trim(text) != "") & ~F.trim(text).startswith(";")).withColumn("_p", parts).where(F.size("_p") >= 3)
     return rows.groupBy(F.col("_p")[0].alias("key")).agg(F.max_by(F.col("_p")[2], order).alias("value"))
 
