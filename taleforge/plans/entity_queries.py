@@ -83,20 +83,23 @@ def fuzzy_pairs(spark, d):
     return ops.fuzzy(p).select("a", "b", "name_a", "name_b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("alias_overlap", f"with {CHARS}, k as (select idx, lower(name) n, list_transform(aliases, lambda x: lower(x)) al from chars where idx < 400) select a.idx a, b.idx b from k a join k b on a.idx < b.idx and len(list_intersect(list_append(a.al, a.n), list_append(b.al, b.n))) > 0")
+@query("alias_overlap", """with k as (select p_partkey idx, [lower(p_name || ' ' || p_partkey % 500), lower(p_name || ' ' || p_partkey * 7 % 500)] n from part), u as (select distinct idx, unnest(n) n from k) select distinct a.idx a, b.idx b from u a join u b on a.n = b.n and a.idx < b.idx""")
 def alias_overlap(spark, d):
-    """The fixture of four hundred profiles; names meet on equal keys."""
-    c = chars(spark, d).where("idx < 400").select("idx", F.explode(F.transform(F.concat(F.array("name"), "aliases"), text.name_key)).alias("k"))
+    """Profiles that share a name or an alias; they meet on equal keys."""
+    k = F.col("p_partkey")
+    names = [F.concat("p_name", F.lit(" "), x.cast("string")) for x in (k % 500, k * 7 % 500)]
+    c = table(spark, d, "part").select(k.alias("idx"), F.explode(F.array_distinct(F.transform(F.array(*names), text.name_key))).alias("k"))
     return c.toDF("a", "k").join(c.toDF("b", "k"), "k").where("a < b").select("a", "b").distinct()
 
 
-_EDGES = "edges as (select distinct c_custkey a, (c_custkey * 7 + 3) % 1500 b from customer where c_custkey % 3 <> 0)"
+_EDGES = "edges as (select c_custkey a, c_custkey - c_custkey % 7 + c_custkey * 3 % 7 b from customer)"
 
 
-@query("merge_components", f"with recursive {_EDGES}, ends as (select a u, b v from edges union select b, a from edges), reach as (select u node, u root from ends union select r.node, b.v from reach r join ends b on r.root = b.u) select node, min(root) root from reach group by 1")
+@query("merge_components", f"with recursive {_EDGES}, ends as (select a u, b v from edges where a <> b union select b, a from edges where a <> b), reach as (select u node, u root from ends union select r.node, b.v from reach r join ends b on r.root = b.u) select node, min(root) root from reach group by 1")
 def merge_components(spark, d):
     """U6, M6."""
-    e = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % 1500).alias("b"))
+    k = F.col("c_custkey")
+    e = table(spark, d, "customer").select(k.alias("a"), (k - k % 7 + k * 3 % 7).alias("b"))
     return ops.merge_components(e)
 
 
@@ -136,10 +139,10 @@ def alias_exclusion(spark, d):
     return ops.blocked_aliases(p)
 
 
-@query("orphan_pairs", f"with {CHARS}, p as (select idx, case when idx % 40 = 3 then split_part(name, ' ', 1) else name end as name, gender, is_named from chars where idx < 600), o as (select * from p where is_named and not contains(name, ' ')) select o.idx, p.idx other from o join p on p.gender = o.gender and p.is_named and p.idx <> o.idx where not (abs(o.idx - p.idx) = 6)")
+@query("orphan_pairs", f"with {CHARS}, p as (select idx, case when idx % 40 = 3 then split_part(name, ' ', 1) else name end as name, gender, is_named from chars), o as (select * from p where is_named and not contains(name, ' ')) select o.idx, p.idx other from o join p on p.gender = o.gender and p.is_named and p.idx <> o.idx where not (abs(o.idx - p.idx) = 6)")
 def orphan_pairs(spark, d):
-    """A cast of six hundred; pairs six apart were judged before."""
-    c = chars(spark, d).where("idx < 600").withColumn("name", F.when(F.col("idx") % 40 == 3, F.substring_index("name", " ", 1)).otherwise(F.col("name")))
+    """Pairs six apart were judged before."""
+    c = chars(spark, d).withColumn("name", F.when(F.col("idx") % 40 == 3, F.substring_index("name", " ", 1)).otherwise(F.col("name")))
     judged = c.select((F.col("idx") + 6).alias("a"), F.col("idx").alias("b"))
     return ops.orphan_pairs(c, judged)
 

@@ -61,7 +61,7 @@ def seg_block_classify(spark, d):
 
 
 @query("seg_quote_split", f"""with {LINES}, parts as (select chapter, pos, text, list_filter(list_transform(case when regexp_matches(text, '[“”]') then regexp_extract_all(text, '“[^”]*(?:”|$)|[^“]+') else regexp_extract_all(text, '"[^"]*(?:"|$)|[^"]+') end, lambda p: trim(p, ' ')), lambda p: p <> '') p from lines where pos % 17 <> 16),
-  typed as (select chapter, pos, case when len(p) <= 1 then [{{'type': 'dialogue', 'text': text}}] else list_transform(p, lambda x: {{'type': case when left(x, 1) in ('“', '"') then 'dialogue' else 'narration' end, 'text': x}}) end q from parts)
+  typed as (select chapter, pos, case when len(p) <= 1 then [{{'type': 'dialogue', 'text': text}}] else list_transform(p, lambda x: {{'type': case when left(x, 1) = (case when regexp_matches(text, '[“”]') then '“' else '"' end) then 'dialogue' else 'narration' end, 'text': x}}) end q from parts)
   select chapter, pos, len(q)::int n, sum(len(u.text))::bigint chars, count_if(u.type = 'dialogue') quoted from (select chapter, pos, q, unnest(q) u from typed) group by chapter, pos, q""")
 def seg_quote_split(spark, d):
     """T3, F1."""
@@ -82,7 +82,7 @@ def seg_ids(spark, d):
     return ops.sequential_ids(seg(spark, d), book="book", chapter="chapter", order=["pos"]).select("book", "chapter", "pos", "seq")
 
 
-@query("seg_chunk_pack", """with recursive s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') l from documents where doc_id % 10 < 10),
+@query("seg_chunk_pack", """with recursive s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') l from documents),
   f as (select doc_id, l, 1 i, 0 done, length(l[1]) now, 0 longest from s where len(l) > 0
    union all select doc_id, l, i + 1, case when now + 1 + length(l[i + 1]) > 580 then done + 1 else done end, case when now + 1 + length(l[i + 1]) > 580 then length(l[i + 1]) else now + 1 + length(l[i + 1]) end, longest from f where i < len(l))
   select doc_id, case when now < 200 and done > 0 then done else done + 1 end::int n from f where i = len(l)""")
