@@ -50,7 +50,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     made = [{"name": k, "b": bigrams(normalised(v))} for k, v in (templates or TEMPLATES).items()]
     made = [t | {"n": len(t["b"]), "p": sorted({x.rpartition("#")[0] for x in t["b"]})} for t in made if t["b"]]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9  # a little room for rounding
     least, most = min(t["n"] for t in made) * low, max(t["n"] for t in made) * high
     kinds = "array<struct<name:string,b:array<string>,n:int,p:array<string>>>"
     known = F.from_json(F.lit(json.dumps(made)), kinds)
@@ -73,3 +73,19 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.col("__id").alias(id_col), F.expr("array_max(__h).name").alias("license_id"), F.expr("array_max(__h).dice").alias("dice"),
         F.expr("size(array_distinct(transform(__h, h -> h.at)))").cast("bigint").alias("n_passages"), F.expr("array_sort(array_distinct(transform(__h, h -> h.name)))").alias("licenses"),
     )
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """The same rows as license_scan() over ``documents`` in DuckDB, by joining all bigrams; licences joined by commas."""
+    known = ", ".join(f"('{k}', '{' '.join(normalised(v))}')" for k, v in TEMPLATES.items())
+    counted = "select {key}, list_extract(w, i) || ' ' || list_extract(w, i + 1) as b, count(*) as c from (select {key}, w, unnest(range(1, len(w))) as i from {rows}) group by all"
+    return f"""with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\n[ \t\r]*\n'), [t]))) as p from d),
+w as (select doc_id, p, string_split(trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'), ' '), ' ') as w from p), s as (select * from w where len(w) between 4 and 600),
+k as (select name, string_split(v, ' ') as w from (values {known}) as x(name, v)),
+a as ({counted.format(key="doc_id, p", rows="s")}), b as ({counted.format(key="name", rows="k")}),
+m as (select a.doc_id, a.p, b.name, sum(least(a.c, b.c)) as n from a join b on a.b = b.b group by all),
+h as (select m.doc_id, m.p, m.name, 2 * m.n::double / (len(s.w) + len(k.w) - 2) as dice from m join s on s.doc_id = m.doc_id and s.p = m.p join k on k.name = m.name),
+g as (select * from h where dice >= {threshold!r}),
+r as (select doc_id, (max(struct_pack(dice := dice, name := name))).name as license_id, max(dice) as dice, count(distinct p) as n_passages, string_agg(distinct name, ',' order by name) as licenses from g group by 1)
+select d.doc_id, r.license_id, r.dice, coalesce(r.n_passages, 0) as n_passages, coalesce(r.licenses, '') as licenses from d left join r using (doc_id)"""
