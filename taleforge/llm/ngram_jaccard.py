@@ -45,8 +45,8 @@ def prefix_length(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signature_bytes(size: int) -> int:
-    """Width of a set's signature: 1 to 2 bits a member, a power of two, 64 bits at least."""
-    return max(64, 1 << max(0, int(size - 1).bit_length())) // 8
+    """Width of a set's signature: 4 to 8 bits a member, a power of two, 64 bits at least."""
+    return max(64, 1 << max(0, int(4 * size - 1).bit_length())) // 8
 
 
 def sets_of(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,10 +260,12 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # one sketch of each class: that of its smallest id (any, where ids repeat or are null)
     runs = sketch.where("size > 0").join(groups.select("cid", F.col("id").alias("__first")), "cid").where("id <=> __first").dropDuplicates(["cid"])
     member = runs.select("cid", "size", "sig", F.explode("prefix").alias("key"))
-    whole = W.partitionBy("key")
-    runs = member.select("key", "cid", "size").withColumns({"rows": F.count("*").over(whole), "least": F.min("cid").over(whole)}).where("rows > 1")
-    runs = stash(runs, f"{name}-runs")
-    after = F.lead(F.struct("cid", "size")).over(W.partitionBy("key").orderBy("size", "cid"))
+    # a member whose neighbours by size are both too far off has no partner in the run
+    whole, by_size = W.partitionBy("key"), W.partitionBy("key").orderBy("size", "cid")
+    runs = member.select("key", "cid", "size").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
+    runs = runs.where(f"{den} * below >= {num} * size or {den} * size >= {num} * above").drop("below", "above")
+    runs = stash(runs.withColumn("least", F.min("cid").over(whole)), f"{name}-runs")
+    after = F.lead(F.struct("cid", "size")).over(by_size)
     near = runs.withColumn("next", after)
     fits = f"{den} * least(size, s2) >= {num} * greatest(size, s2)"
     center = runs.alias("r").join(groups.select(F.col("cid").alias("least"), F.col("size").alias("s2")), "least").where("cid <> least").select("cid", F.col("least").alias("c2"), "size", "s2")
