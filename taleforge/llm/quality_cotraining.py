@@ -137,27 +137,30 @@ def co_train(text: np.ndarray, page: np.ndarray, label: np.ndarray, more_text: n
     views = {"text": more_text, "page": more_page}
     free = {"text": np.ones(len(more_text), bool), "page": np.ones(len(more_page), bool)}  # rows the view has not been taught
     given = {"text": 0, "page": 0}
+    at = back if back.any() else own
+    held = {"text": text[at], "page": page[at]}
     models = {}
-    for _ in range(rounds + 1):
+    for turn in range(rounds + 1):
         models = {k: logistic(*known[k]) for k in known}
-        if _ == rounds or not len(more_text):
+        if turn == rounds or not len(more_text):
             break
         taught = {}
         for teacher, pupil in (("text", "page"), ("page", "text")):
-            p = sigmoid(models[teacher].logit(views[teacher]))
+            # how sure a view may be shows on the labelled rows held back: a weak view teaches nothing
+            trust = logistic(models[teacher].logit(held[teacher])[:, None], label[at])
+            p = sigmoid(trust.logit(models[teacher].logit(views[teacher])[:, None]))
             picked = []
             for score in (p, 1 - p):
-                at = np.flatnonzero((score >= sure) & free[pupil])
-                picked.append(at[np.argsort(-score[at], kind="stable")[:handed]])
-            at = np.concatenate(picked)
-            taught[pupil] = (at, (p[at] >= 0.5).astype(float))
-        if not any(len(at) for at, _ in taught.values()):
+                some = np.flatnonzero((score >= sure) & free[pupil])
+                picked.append(some[np.argsort(-score[some], kind="stable")[:handed]])
+            rows = np.concatenate(picked)
+            taught[pupil] = (rows, (p[rows] >= 0.5).astype(float))
+        if not any(len(rows) for rows, _ in taught.values()):
             break
-        for pupil, (at, y) in taught.items():
-            free[pupil][at] = False
-            given[pupil] += len(at)
-            known[pupil] = (np.concatenate([known[pupil][0], views[pupil][at]]), np.concatenate([known[pupil][1], y]))
-    at = back if back.any() else own
+        for pupil, (rows, y) in taught.items():
+            free[pupil][rows] = False
+            given[pupil] += len(rows)
+            known[pupil] = (np.concatenate([known[pupil][0], views[pupil][rows]]), np.concatenate([known[pupil][1], y]))
     a, b, y = models["text"].logit(text[at]), models["page"].logit(page[at]), label[at]
     calibration = (logistic(a[:, None], y), logistic(b[:, None], y))
     both = np.stack([calibration[0].logit(a[:, None]), calibration[1].logit(b[:, None])], 1)
