@@ -25,8 +25,8 @@ from taleforge.llm.common import rebatched, stash
 #: Documents of each language that the model is fitted on at most.
 ROWS_PER_LANGUAGE = 1500
 ROUNDS = 2
-#: Runs between white space that a worker keeps.
-CACHE = 300_000
+#: Runs between white space, and words, that a worker keeps of each.
+CACHE = 400_000
 #: Longer words are summed one by one, with scaling.
 LONG = 60
 #: Probability of a letter that no piece covers, the same in every language.
@@ -35,26 +35,29 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
-    """The vocabulary: lower-case pieces by their text, the word mark included."""
+    """The vocabulary: lower-case pieces by their text, the word mark included, and all beginnings of pieces (as -1)."""
 
     def __init__(self, pieces: list[str]) -> None:
         self.index = {p: i for i, p in enumerate(pieces)}
         self.size = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        self.begins = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | self.index
 
     def cuts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Every piece in every word: (word, start, end, piece), in the order of the words; piece = size: an unknown letter."""
-        get, longest, none = self.index.get, self.longest, self.size
+        get, none = self.begins.get, self.size
         out: list[tuple[int, int, int, int]] = []
         put = out.append
         for w, word in enumerate(words):
             n = len(word)
             for i in range(n):
-                if get(word[i]) is None:
-                    put((w, i, i + 1, none))
-                for j in range(i + 1, min(n, i + longest) + 1):
+                p = get(word[i], -1)
+                put((w, i, i + 1, p if p >= 0 else none))
+                for j in range(i + 2, n + 1):
                     p = get(word[i:j])
-                    if p is not None:
+                    if p is None:  # no piece begins like this
+                        break
+                    if p >= 0:
                         put((w, i, j, p))
         return tuple(np.array(out, np.int64).reshape(-1, 4).T)
 
@@ -66,10 +69,11 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p for p in found if p == p.lower()})
 
 
-def _sum(values: np.ndarray, groups: np.ndarray, into: np.ndarray, at: tuple) -> None:
-    """Add rows of values, sorted by groups, to into[groups, at]."""
+def _sum(values: np.ndarray, groups: np.ndarray, into: np.ndarray, at: int | tuple[()]) -> None:
+    """Add rows of values, sorted by groups, to into[groups, at], or to into[groups] for at = ()."""
     first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    into[groups[first], at] += np.add.reduceat(values, first, axis=0)
+    where = (groups[first], at) if at != () else groups[first]
+    into[where] += np.add.reduceat(values, first, axis=0)
 
 
 def forward(cuts: tuple, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -206,17 +210,17 @@ class _Scorer:
     def clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.logs = np.zeros((0, len(self.model.languages)))
+        self.words: dict[str, int] = {}
+        self.word_logs = np.zeros((0, len(self.model.languages)))
 
     def scores(self, texts: list[str]) -> Iterator[tuple[bool, np.ndarray]]:
         """For each text: whether it has a letter, and its log probability in each language."""
-        if len(self.seen) > CACHE:
+        if len(self.seen) > CACHE or len(self.words) > CACHE:
             self.clear()
-        runs = [t.lower().split() for t in texts]
-        seen, new = self.seen, []
-        index = []
-        for own in runs:
+        seen, new, index = self.seen, [], []
+        for text in texts:
             at = []
-            for run in own:
+            for run in text.lower().split():
                 k = seen.get(run)
                 if k is None:
                     k = seen[run] = len(seen)
@@ -224,15 +228,20 @@ class _Scorer:
                 at.append(k)
             index.append(at)
         if new:
-            words: dict[str, int] = {}
-            owner, which = [], []
+            words, fresh, owner, which = self.words, [], [], []
             for i, run in enumerate(new):
                 for w in WORD.findall(run):
+                    k = words.get(w)
+                    if k is None:
+                        k = words[w] = len(words)
+                        fresh.append("▁" + w)
                     owner.append(i)
-                    which.append(words.setdefault("▁" + w, len(words)))
+                    which.append(k)
+            if fresh:
+                self.word_logs = np.concatenate([self.word_logs, word_logs(fresh, self.pieces, self.model.table)])
             made = np.zeros((len(new), self.logs.shape[1]))
-            if words:
-                np.add.at(made, owner, word_logs(list(words), self.pieces, self.model.table)[which])
+            if owner:
+                _sum(self.word_logs[which], np.array(owner), made, ())
             self.logs = np.concatenate([self.logs, made])
         for at in index:
             total = self.logs[at].sum(0) if at else np.zeros(self.logs.shape[1])
@@ -242,16 +251,16 @@ class _Scorer:
 _OPEN: dict[int, _Scorer] = {}
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """docs with ``lang_pred`` and ``score`` (the language's share of the probability of all, 0 to 1).
 
     ``und`` and 0 where the text is null or has no letter, or nothing was learned; ties go to the first
     language. Only the text is read; every other column, whatever its name, is passed through
-    (``lang_pred`` and ``score`` are replaced if they exist).
+    (``lang_pred`` and ``score`` are replaced if they exist); the text itself only ``with_text``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    names = [c for c in docs.columns if with_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -270,7 +279,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
                 best = int(logs.argmax())
                 named.append(known.languages[best])
                 share.append(float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(share, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(named, pa.string()), pa.array(share, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in names), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def op9_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     model = fit(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=~held_out)
-    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, with_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
