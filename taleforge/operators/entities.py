@@ -6,16 +6,21 @@ import tempfile
 import uuid
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taleforge.functions.text import TITLES, contains_name, jaccard, known, name_key, preferred, surname_conflict, title_match, word_set, words
+from taleforge.functions.text import TITLES, contains_name, given, jaccard, known, name_key, preferred, surname, surname_conflict, title_match, word_set, words
 
 TRAIT_CAP = 30
 #: Pairs closer than this share of matching characters are the same name; short names need more.
 FUZZY, FUZZY_SHORT, SHORT = 0.85, 0.90, 6
+#: Names up to this length are matched side by side.
+LONG = 64
+#: Letters put in order by their frequency (others come first), and parts that a block of names is dealt in.
+ORDERED, SPREAD = 1000, 16
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -68,23 +73,85 @@ def pair_reasons(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", F.when(contains_name("name_a", "name_b"), "substring").when(title_match("name_a", "name_b"), "title"))
 
 
+def fuzzy_candidates(names: DataFrame, *, idx: str = "idx", name: str = "name", conflicts: bool = False) -> DataFrame:
+    """J4 for F5: unordered pairs a < b with their names and keys, among them all whose share of matching characters reaches FUZZY, each once.
+
+    Matching characters are common letters, counted with multiplicity: a pair of share t has t / (2 - t) of each
+    name's letters in common. So, with all letters in one order (rare ones first), the first
+    n - ceil(t / (2 - t) * n) + 1 letters of both names share one; pairs meet on those and are kept at the first
+    they share. Blocks are dealt in SPREAD parts.
+    """
+    letters = F.split("_x", "")
+    counted = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda z: z == c)).cast("string")))
+    rows = names.select(F.col(idx).alias("_i"), F.col(name).alias("_n"), name_key(name).alias("_x")).where(F.length("_x") >= 3).withColumn("_t", counted)
+    known = rows.select(F.explode("_t").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(ORDERED).collect()
+    place = F.array(*[F.lit(r.t) for r in reversed(known)]) if known else F.array().cast("array<string>")
+    n = F.size("_t")
+    ordered = F.transform(F.array_sort(F.transform("_t", lambda t: F.struct(F.array_position(place, t).alias("p"), t.alias("t")))), lambda x: x["t"])
+    first = F.slice(ordered, F.lit(1), n - F.ceil(n * (FUZZY / (2 - FUZZY)) - 1e-9).cast("int") + 1)
+    full = F.when(F.size(words("_n")) >= 2, F.struct(surname("_n").alias("s"), given("_n").alias("g")))
+    keys = stash(rows.select("_i", "_n", "_x", F.length("_x").alias("_l"), F.array_distinct(F.transform(first, lambda t: F.xxhash64(t))).alias("_k"), full["s"].alias("_s"), full["g"].alias("_g")), "fuzzy-keys").withColumn("_key", F.explode("_k"))
+    # a stated number of partitions: few rows make many pairs
+    width = max(SPREAD, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    a = keys.withColumn("_part", F.pmod(F.xxhash64("_i"), F.lit(SPREAD)).cast("int")).repartition(width, "_key", "_part").alias("a")
+    b = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).repartition(width, "_key", "_part").alias("b")
+    near = 2.0 * F.least("a._l", "b._l") / (F.col("a._l") + F.col("b._l")) >= FUZZY
+    once = F.array_intersect("a._k", "b._k")[0] == F.col("a._key")
+    met = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._part") == F.col("b._part")) & (F.col("a._i") < F.col("b._i")) & near & once)
+    if not conflicts:
+        met = met.where(~F.coalesce((F.col("a._s") == F.col("b._s")) & (F.col("a._g") != F.col("b._g")), F.lit(False)))
+    return met.select(F.col("a._i").alias("a"), F.col("a._n").alias("name_a"), F.col("a._x").alias("key_a"), F.col("b._i").alias("b"), F.col("b._n").alias("name_b"), F.col("b._x").alias("key_b"))
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """SequenceMatcher(None, a, b).ratio() of each pair, computed for all pairs side by side."""
+    sizes = np.array([[len(p), len(q)] for p, q in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.array([SequenceMatcher(None, p, q).ratio() if len(p) > LONG or len(q) > LONG else 0.0 for p, q in zip(a, b, strict=True)])
+    row = np.flatnonzero((sizes > 0).all(1) & (sizes <= LONG).all(1))
+    if not len(row):
+        return np.where(sizes.sum(1) == 0, 1.0, out)
+    x, y = (np.array([s if len(s) <= LONG else "" for s in side] or [""]) for side in (a, b))
+    x, y = (v.view(np.uint32).reshape(len(v), -1) for v in (x, y))
+    short, total = row, np.zeros(len(sizes), np.int64)
+    # parts of both names that are still to be matched: the longest common run splits each into two
+    alo, blo, ahi, bhi = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), sizes[row, 0], sizes[row, 1]
+    while len(row):
+        p, q = x[row], y[row]
+        j = np.arange(y.shape[1])
+        inside = (j >= blo[:, None]) & (j < bhi[:, None])
+        run = np.zeros((len(row), y.shape[1] + 1), np.int16)
+        best, bi, bj = np.zeros((3, len(row)), np.int64)
+        every = np.arange(len(row))
+        for i in range(int(alo.min()), int(ahi.max())):
+            same = (q == p[:, i : i + 1]) & inside & ((i >= alo) & (i < ahi))[:, None]
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            end = run.argmax(1)
+            size = run[every, end]
+            more = size > best  # the earliest in a, then in b, of the longest
+            best, bi, bj = np.where(more, size, best), np.where(more, i + 1 - size, bi), np.where(more, end - size, bj)
+        total += np.bincount(row, best, len(total)).astype(np.int64)
+        row, alo, ahi, blo, bhi = (np.concatenate(v) for v in ((row, row), (alo, bi + best), (bi, ahi), (blo, bj + best), (bj, bhi)))
+        left = np.tile(best > 0, 2) & (alo < ahi) & (blo < bhi)
+        row, alo, ahi, blo, bhi = (v[left] for v in (row, alo, ahi, blo, bhi))
+    out[short] = 2.0 * total[short] / sizes[short].sum(1)
+    return np.where(sizes.sum(1) == 0, 1.0, out)
+
+
 def fuzzy(pairs: DataFrame) -> DataFrame:
     """the pairs whose names match by the share of matching characters (order matters: a first).
 
-    Pairs that cannot reach the share by their lengths, or by their letters, never leave the JVM.
+    Pairs that cannot reach the share by their lengths never leave the JVM. Where pairs carry the names' keys
+    (key_a, key_b), these are not made again for every pair.
     """
-    x, y = name_key("name_a"), name_key("name_b")
+    x, y = (F.col(f"key_{k}") if f"key_{k}" in pairs.columns else name_key(f"name_{k}") for k in "ab")
     short = F.least(F.length(x), F.length(y))
     need = F.when(short < SHORT, FUZZY_SHORT).otherwise(FUZZY)
     fits = (short >= 3) & (2.0 * short / (F.length(x) + F.length(y)) >= need)
-    # a bound by characters: no match holds more of a letter than both names have
-    letters = F.split(x, "")
-    common = F.aggregate(F.array_distinct(letters), F.lit(0), lambda s, c: s + F.least(F.size(F.filter(letters, lambda z: z == c)), F.size(F.filter(F.split(y, ""), lambda z: z == c))))
-    some = pairs.withColumns({"_x": x, "_y": y, "_need": need}).where(fits).where(2.0 * common / (F.length("_x") + F.length("_y")) >= F.col("_need"))
+    some = pairs.withColumns({"_x": x, "_y": y, "_need": need}).where(fits)
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series(ratios(a.tolist(), b.tolist()), dtype="float64")
 
     return some.withColumn("ratio", ratio("_x", "_y")).where("ratio >= _need").drop("_x", "_y", "_need")
 

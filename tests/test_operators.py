@@ -1,6 +1,7 @@
 """Fixtures of the relational operators, restarts, sources and the registry."""
 
 import io
+import random
 import zipfile
 from difflib import SequenceMatcher
 
@@ -34,6 +35,33 @@ def test_fuzzy_pairs_equal_a_plain_loop(spark):
     assert got == want and want
 
 
+def test_ratios_equal_the_standard_library():
+    rng = random.Random(3)
+    names = ["", "a", "é\U0001f600é", "x" * 70, "ab" * 120] + ["".join(rng.choices("abc \U0001f600", k=rng.randrange(20))) for _ in range(200)]
+    pairs = [(x, y) for x in names for y in rng.sample(names, 20)]
+    assert entities.ratios(*map(list, zip(*pairs, strict=True))).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+
+
+def test_fuzzy_query_equals_a_loop_over_all_pairs(spark):
+    """No two names of the table are surname conflicts: those need equal last words, and such pairs are far apart."""
+    d = "/root/testdata/sf0.001"
+    c = [(r.c_custkey, f"{r.c_mktsegment.lower()} {r.c_name[-4:]}") for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    want = {(i, j) for i, x in c for j, y in c if i < j and SequenceMatcher(None, x, y).ratio() >= 0.85}
+    got = [(r.a, r.b) for r in registry.QUERIES["fuzzy_pairs"](spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 1537
+
+
+def test_fuzzy_candidates_lose_no_pair(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choices("aabcde 12", k=rng.randrange(3, 16))) for _ in range(150)]
+    names += [n[:k] + rng.choice("xyz") + n[k + 1 :] for n in names if (k := rng.randrange(len(n))) >= 0]
+    df = spark.createDataFrame(list(enumerate(names)), "idx bigint, name string")
+    keys = [n.lower().strip(" ") for n in names]
+    want = {(i, j) for j, y in enumerate(keys) for i, x in enumerate(keys[:j]) if min(len(x), len(y)) >= 3 and SequenceMatcher(None, x, y).ratio() >= (0.9 if min(len(x), len(y)) < 6 else 0.85)}
+    got = [(r.a, r.b) for r in entities.fuzzy(entities.fuzzy_candidates(df, conflicts=True)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_closure_of_pairs(spark):
     pairs = [(5, 4), (4, 3), (9, 8), (3, 3)] + [(i, i + 1) for i in range(20, 40)]
     got = dict(rows(entities.merge_components(spark.createDataFrame(pairs, "a bigint, b bigint"))))
