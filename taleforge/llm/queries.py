@@ -59,16 +59,15 @@ def op7_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding played as a recording; excerpts with noise of every fiftieth are found again among all."""
+    """Every embedding played as a recording; excerpts with noise of every fiftieth are found again among all.
+
+    One row for each recording and query that align; a recording that no query aligns with has one row without query_id.
+    """
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     prints = stash(fingerprints(recordings(rows)), "audio-prints")
     asked = stash(fingerprints(recordings(rows, queries=F.col("vec_id") % 50 == 0)), "audio-asked")
-    found = alignments(asked, prints).groupBy("match_id").agg(F.count("*").alias("n_aligned"), F.min(F.struct("bit_error", "query_id", "offset", "overlap")).alias("b"))
-    out = prints.join(found, prints.id == found.match_id, "left")
-    return out.select(
-        F.col("id").alias("vec_id"), "n_codes", F.crc32("codes").alias("codes_crc32"), F.coalesce("n_aligned", F.lit(0)).alias("n_aligned"),
-        F.col("b.query_id").alias("query_id"), F.col("b.offset").alias("offset"), F.col("b.bit_error").alias("bit_error"), F.col("b.overlap").alias("overlap"),
-    )
+    out = prints.join(alignments(asked, prints), F.col("id") == F.col("match_id"), "left")
+    return out.select(F.col("id").alias("vec_id"), "n_codes", F.crc32("codes").alias("codes_crc32"), "query_id", "offset", "bit_error", "overlap")
 
 
 def op9_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from taleforge.llm.additive_quantisation import nearest
 from taleforge.llm.bpe import encode_table
 from taleforge.llm.ngram_jaccard import ngram_jaccard
 from taleforge.llm.packing import pack
+from taleforge.llm.queries import op8_chroma_fingerprint
 from taleforge.llm.sharding import shard
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, cid bigint"
@@ -237,6 +238,17 @@ def test_recordings_are_found_again(spark):
     assert audio.alignments(asked.limit(0), prints).collect() == []
 
 
+def test_every_alignment_is_returned(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((102, 64)))]
+    same = {0, 7, 50, 100}
+    rows = [(i, rows[0][1] if i in same else v) for i, v in rows]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = op8_chroma_fingerprint(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.vec_id, r.offset) for r in got if r.query_id is not None) == [(q, i, 16) for q in (0, 50, 100) for i in sorted(same)]
+    assert {r.vec_id for r in got if r.query_id is None} == set(range(102)) - same and len(got) == 98 + 12
+
+
 def test_languages_of_odd_rows_and_held_out_accuracy(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     path = public_tokenizers.path("piece_bpe_32k.model")
