@@ -2,10 +2,11 @@
 
 Word and word-pair counts of all training texts are summed in slots by hash. Each count is quantised on a
 roughly geometric scale of levels; a gram of level q is put into the filter q times, once with each level
-up to q. A count is read back by probing level after level until one is missing. The filter has a fixed
-number of bits, in segments that are built where their grams meet, and is broadcast to the workers.
+up to q. A count is read back by probing level after level until one is missing. The filter is made in
+segments where their grams meet, each with bits in proportion to what is put into it, and is broadcast in parts
+of bounded size; where there are several, a worker holds one at a time.
 The model mixes the pair's share of its context with the smoothed word probability; the weights, one for
-each context level, are fitted on a bounded sample by leaving each pair's own occurrence out.
+each context level, are fitted on all training texts by leaving each pair's own occurrence out.
 
 The add-one base score needs exact word counts. Frequent words (a bounded number) are broadcast;
 the others are looked up by a shuffle on the word's slot.
@@ -14,25 +15,26 @@ the others are looked up by a shuffle on the word's slot.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleforge.llm.common import binaries, mix, packed_groups, rebatched, shuffle_width, stash, text_bytes, word_hashes
 
-#: Bits of the filter: 64 MB, whatever the input.
+#: Bits of the filter at least (64 MB), and for each bit that is set (a segment's width is the next power of two).
 FILTER_BITS = 1 << 29
+ROOM = 4
+#: Bytes of the filter that a worker holds at once, give or take a segment.
+PART_BYTES = 64 << 20
 PROBES = 2
 #: Words whose exact counts are broadcast at most (12 bytes each).
 FREQUENT = 1 << 20
 #: Grams that a task holds before it sends them on.
 HELD = 4_000_000
-#: Training texts that the mixture weights are fitted on at most.
-SAMPLE_ROWS = 2000
 WEIGHTS = np.array([0.0, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 END, BEGIN = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0xBE61_0000_0000_0001)
 
@@ -70,23 +72,28 @@ def pair_gram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first + np.uint64(0x9A13)) * np.uint64(3) + second)
 
 
-def positions(rest: np.ndarray, at: int | np.ndarray, probe: int, bits: int) -> np.ndarray:
+def positions(rest: np.ndarray, at: int | np.ndarray, probe: int, bits: int | np.ndarray) -> np.ndarray:
     """The bit of one probe for a gram's low half at a level, within its segment."""
     h = mix(rest + (np.uint64(1) << np.uint64(40)) * np.asarray(at, np.uint64) + (np.uint64(1) << np.uint64(56)) * np.uint64(probe))
-    return (h & np.uint64(bits - 1)).astype(np.int64)
+    return (h & np.asarray(bits - 1, np.uint64)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Filter:
-    """bits: the whole filter, little bit first; segments: a power of two."""
+    """bits: the whole filter or a part of it, little bit first; segments: a power of two. base, width: first bit and
+    bits of each segment; without them all are equally wide."""
 
     bits: np.ndarray
     segments: int
+    base: np.ndarray | None = None
+    width: np.ndarray | None = None
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each gram by probes of rising level; never below the true one."""
-        width = len(self.bits) * 8 // self.segments
-        base = (grams >> np.uint64(64 - self.segments.bit_length() + 1)).astype(np.int64) * width
+        owner = segment_of(grams, self.segments)
+        even = len(self.bits) * 8 // self.segments
+        base = owner * even if self.base is None else self.base[owner]
+        width = None if self.width is None else self.width[owner]
         rest = grams & np.uint64(0xFFFFFFFF)
         out = np.zeros(len(grams), np.int64)
         live = np.arange(len(grams))
@@ -94,12 +101,41 @@ class Filter:
         while len(live) and at < len(LEVELS) - 1:
             at += 1
             for k in range(PROBES):
-                where = base[live] + positions(rest[live], at, k, width)
+                where = base[live] + positions(rest[live], at, k, even if width is None else width[live])
                 live = live[(self.bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 == 1]
             out[live] = at
         return out
 
 
+@dataclass(frozen=True)
+class Parts:
+    """A filter in broadcast parts; owner: the part of each segment."""
+
+    held: list[Broadcast]
+    owner: np.ndarray
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        if len(self.held) == 1:
+            return self.held[0].value.levels(grams)
+        part, out = self.owner[segment_of(grams, len(self.owner))], np.zeros(len(grams), np.int64)
+        for p, b in enumerate(self.held):
+            mine = np.flatnonzero(part == p)
+            if len(mine):
+                out[mine] = b.value.levels(grams[mine])
+                if hasattr(b, "_path"):  # read from the worker's disk when it is next asked for
+                    b.__dict__.pop("_value", None)
+        return out
+
+
+def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int64)
+
+
+def segment_width(counts: np.ndarray, least: int) -> int:
+    """Bits of a segment that holds grams with these counts: a power of two."""
+    return max(least, 1 << (ROOM * PROBES * int(level(counts).sum()) - 1).bit_length() if len(counts) else 0)
+
+
 def segment_bits(rest: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     """The packed bits of one segment that holds the grams with these counts."""
     out = np.zeros(bits, np.uint8)
@@ -173,6 +209,7 @@ def _count(train: DataFrame, text: str, segments: int, slots: int) -> DataFrame:
 
 def _merge(parts: DataFrame, segments: int) -> DataFrame:
     """One row for each kind and slot: words with their counts, or a segment's bits."""
+    least = FILTER_BITS // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, keys, counts = None, [], []
@@ -180,7 +217,7 @@ def _merge(parts: DataFrame, segments: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             if name is not None:
                 k, c = summed(np.concatenate(keys), np.concatenate(counts))
-                data = (segment_bits(k, c, FILTER_BITS // segments).tobytes(), b"") if name[0] else (k.tobytes(), c.astype(np.uint32).tobytes())
+                data = (segment_bits(k, c, segment_width(c, least)).tobytes(), b"") if name[0] else (k.tobytes(), c.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int32()), pa.array([name[1]], pa.int32()), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], names=["kind", "slot", "keys", "counts"])
 
         for b in batches:
@@ -234,47 +271,82 @@ def _frequent(words: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def _broadcast(merged: DataFrame, segments: int) -> Parts:
+    """The filter's segments in parts; the driver holds one part at a time."""
+    spark = merged.sparkSession
+    sizes = np.full(segments, FILTER_BITS // segments // 8, np.int64)
+    for r in merged.where("kind = 1").select("slot", F.length("keys").alias("n")).collect():  # one row a segment
+        sizes[r.slot] = r.n
+    start = np.cumsum(sizes) - sizes
+    owner = (start // PART_BYTES).astype(np.int32)
+    owner = np.unique(owner, return_inverse=True)[1].astype(np.int32)
+    held = []
+    for p in range(int(owner[-1]) + 1):
+        first, last = np.flatnonzero(owner == p)[[0, -1]].tolist()
+        bits = np.zeros(int(sizes[first : last + 1].sum()), np.uint8)
+        for r in merged.where((F.col("kind") == 1) & F.col("slot").between(first, last)).select("slot", "keys").toLocalIterator():
+            at = int(start[r.slot] - start[first])
+            bits[at : at + len(r.keys)] = np.frombuffer(r.keys, np.uint8)
+        held.append(spark.sparkContext.broadcast(Filter(bits, segments, 8 * (start - start[first]), 8 * sizes)))
+    return Parts(held, owner)
+
+
 @dataclass(frozen=True)
 class Model:
-    filter: Filter
+    filter: Filter | Parts
     tokens: int
     distinct: int
     weights: np.ndarray  # by level of the context
 
-    def parts(self, tokens: np.ndarray, before: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: the pair's share of its context, the word's probability, the context's level, the word's level. own: occurrences to leave out."""
+    def read(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: the levels of its pair, of its word and of its context."""
         names, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        levels = self.filter.levels(word_gram(names))
-        word, context = levels[at[: len(tokens)]], levels[at[len(tokens) :]]
         pairs, back = np.unique(pair_gram(before, tokens), return_inverse=True)
-        both = np.minimum(np.minimum(self.filter.levels(pairs)[back], word), context)
+        levels = self.filter.levels(np.concatenate([word_gram(names), pairs]))
+        word, context = levels[at[: len(tokens)]], levels[at[len(tokens) :]]
+        return np.minimum(np.minimum(levels[len(names) :][back], word), context), word, context
+
+    def parts(self, both: np.ndarray, word: np.ndarray, context: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """By levels: the pair's share of its context and the word's probability. own: occurrences to leave out."""
         middle = np.maximum((low(word) + high(word)) / 2 - own, 0)
         share = np.maximum(low(both) - own, 0) / np.maximum(high(context) - own, 1)
-        return np.minimum(share, 1.0), (middle + 1) / (self.tokens + self.distinct + 1), context, word
+        return np.minimum(share, 1.0), (middle + 1) / (self.tokens + self.distinct + 1)
 
     def logs(self, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token, and whether its word can be known."""
-        share, alone, context, word = self.parts(tokens, before)
+        both, word, context = self.read(tokens, before)
+        share, alone = self.parts(both, word, context)
         weight = np.where(context > 0, self.weights[context], 0.0)
         return np.log10(np.minimum(weight * share + (1 - weight) * alone, 1.0)), word > 0
 
 
 def _weights(train: DataFrame, text: str, model: Model) -> np.ndarray:
-    """For each context level the mixture weight that suits the sample best, each token's own occurrence left out."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    """For each context level the mixture weight that suits all training texts best, each token's own occurrence left out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LEVELS) + 1, len(WEIGHTS)))
+    Tokens of equal levels weigh alike: they are counted first, and the logarithms taken once for all of them.
+    """
+    n = len(LEVELS) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in rebatched(batches, text):
             tokens, before, _ = stream(*text_bytes(batch.column(text)))
-            share, alone, context, _ = shared.value.parts(tokens, before, own=1)
-            for k, w in enumerate(WEIGHTS):
-                total[:, k] += np.bincount(context, np.log(w * share + (1 - w) * alone), len(total))
-        q, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k), pa.array(total[q, k])], names=["q", "k", "s"])
-
-    out = np.zeros((len(LEVELS) + 1, len(WEIGHTS)))
-    for r in train.mapInArrow(run, "q bigint, k bigint, s double").groupBy("q", "k").agg(F.sum("s").alias("s")).collect():
+            both, word, context = model.read(tokens, before)
+            names, more = np.unique((both * n + word) * n + context, return_counts=True)
+            keys, counts = summed(np.concatenate([keys, names]), np.concatenate([counts, more]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, times = (b.column(x).to_numpy() for x in ("key", "n"))
+            share, alone = model.parts(key // n // n, key // n % n, key % n, own=1)
+            total = np.stack([np.bincount(key % n, times * np.log(w * share + (1 - w) * alone), n) for w in WEIGHTS], 1)
+            q, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k), pa.array(total[q, k])], names=["q", "k", "s"])
+
+    out = np.zeros((n, len(WEIGHTS)))
+    counted = train.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    for r in counted.mapInArrow(logs, "q bigint, k bigint, s double").groupBy("q", "k").agg(F.sum("s").alias("s")).collect():
         out[r.q, r.k] = r.s
     return WEIGHTS[out.argmax(1)]
 
@@ -296,22 +368,17 @@ def score(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: s
     merged = stash(_merge(_count(learned, text_col, segments, slots), segments), f"{name}-merged")
     words = merged.where("kind = 0")
 
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    width = len(bits) // segments
-    for r in merged.where("kind = 1").select("slot", "keys").toLocalIterator():
-        bits[r.slot * width : (r.slot + 1) * width] = np.frombuffer(r.keys, np.uint8)
     sizes = _sizes(words)
     above = np.cumsum(sizes[::-1, 0])[::-1]  # words of a level or a higher one
     cut = int(np.argmax(above <= FREQUENT))
     hot = _frequent(words, int(LEVELS[cut - 1]) if cut else 1)
-    model = Model(Filter(bits, segments), int(sizes[:, 1].sum()), int(sizes[:, 0].sum()), np.zeros(len(LEVELS) + 1))
-    sample = learned if total[0] <= SAMPLE_ROWS else learned.where(F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(total[0])) < SAMPLE_ROWS)
-    weights = _weights(sample, text_col, model)
-    shared = spark.sparkContext.broadcast((Model(model.filter, model.tokens, model.distinct, weights), hot))
+    model = Model(_broadcast(merged, segments), int(sizes[:, 1].sum()), int(sizes[:, 0].sum()), np.zeros(len(LEVELS) + 1))
+    known = replace(model, weights=_weights(learned, text_col, model))
+    shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
-        known, (keys, counts) = shared.value
+        keys, counts = shared.value
         logs = np.log10(counts.astype(float) + 1)
         for batch in rebatched(batches, text_col):
             tokens, before, starts = stream(*text_bytes(batch.column(text_col)))

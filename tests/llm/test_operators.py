@@ -213,6 +213,21 @@ def test_rare_words_come_by_the_shuffle(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_the_filter_grows_with_what_is_counted_and_is_read_in_parts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ask = lambda: {r.doc_id: (r.n_known, r.score) for r in bloom_lm.score(docs, train=F.col("doc_id") % 7 != 2).collect()}
+    roomy = ask()
+    monkeypatch.setattr(bloom_lm, "FILTER_BITS", 1 << 14)  # far fewer bits than there are grams
+    monkeypatch.setattr(bloom_lm, "PART_BYTES", 20_000)
+    made, parts = [], bloom_lm._broadcast
+    monkeypatch.setattr(bloom_lm, "_broadcast", lambda *a: made.append(parts(*a)) or made[-1])
+    grown = ask()
+    bits = np.concatenate([b.value.bits for b in made[0].held])
+    assert len(made[0].held) > 3 and np.unpackbits(bits).mean() < 0.3
+    assert {k: v[0] for k, v in grown.items()} == {k: v[0] for k, v in roomy.items()}
+    assert np.mean([abs(grown[k][1] - roomy[k][1]) / abs(roomy[k][1]) for k in roomy]) < 0.05
+
+
 def test_encoding_on_odd_rows(odd, empty):
     from tokenizers import Tokenizer
 
