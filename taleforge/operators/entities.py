@@ -156,6 +156,17 @@ def fuzzy(pairs: DataFrame) -> DataFrame:
     return some.withColumn("ratio", ratio("_x", "_y")).where("ratio >= _need").drop("_x", "_y", "_need")
 
 
+def places(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """O1: all rows with their place (from 1) by keys, which have no ties: a range sort, and offsets of its partitions."""
+    part = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", part)
+    dealt = stash(dealt, "places").withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row a partition
+    before = [(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)]
+    offsets = rows.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
+    return dealt.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_at", "_before")
+
+
 def merge_components(pairs: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, root) for the closure of accepted pairs (a, b: bigint); root is the smallest member.
 

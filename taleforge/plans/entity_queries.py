@@ -221,6 +221,12 @@ def sorted_registry(spark, d):
     return head.select("idx", F.row_number().over(Window.orderBy(~F.col("is_named"), F.lower("name"), "idx")).alias("place")).orderBy("place")
 
 
+@query("whole_registry", f"with {CHARS} select idx, row_number() over (order by not is_named, lower(name), idx) place from chars")
+def whole_registry(spark, d):
+    """O1: every profile with its place, named ones first."""
+    return ops.places(chars(spark, d), [~F.col("is_named"), F.lower("name"), F.col("idx")]).select("idx", "place")
+
+
 @query("distinct_names", f"with {CHARS} select chapter, count(distinct lower(name)) as names, count(*) n from chars group by 1")
 def distinct_names(spark, d):
     """A21."""

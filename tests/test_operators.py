@@ -62,6 +62,12 @@ def test_fuzzy_candidates_lose_no_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_every_profile_has_its_place(spark):
+    d = "/root/testdata/sf0.001"
+    p = sorted((r.p_partkey % 5 == 0, r.p_name.lower(), r.p_partkey) for r in spark.read.parquet(f"{d}/part.parquet").collect())
+    assert len(p) > 50 and rows(registry.QUERIES["whole_registry"](spark, d)) == sorted(((x[2], k) for k, x in enumerate(p, 1)), key=repr)
+
+
 def test_closure_of_pairs(spark):
     pairs = [(5, 4), (4, 3), (9, 8), (3, 3)] + [(i, i + 1) for i in range(20, 40)]
     got = dict(rows(entities.merge_components(spark.createDataFrame(pairs, "a bigint, b bigint"))))
