@@ -4,13 +4,16 @@
    a class, found by an order-free digest; only one member of a class goes on.
 2. Two sets can only reach the similarity if they share one of their first ``size - needed + 1`` members
    in one fixed order of all shingles (prefix filter). Shingles that a bounded sample finds in several
-   texts come last in this order: that keeps common passages out of the prefixes. Any order is exact.
-3. Classes that share a prefix member are first linked to the least class of the member's run and to
-   their neighbour by size; after exact verification the components of these links are contracted.
+   texts come last in this order, the most frequent at the end: that keeps common passages out of the
+   prefixes. Any order is exact. A member's place in the order bounds the overlap, and so the size of
+   partners: members of a run (all sets that share a prefix member) without a fitting neighbour by size go.
+3. Classes of a run are first linked to the least class of the run and to their neighbour by size; after
+   exact verification the components of these links are contracted.
 4. What remains of each run with several components is sorted by size and cut into blocks. Two blocks
-   whose size bands can meet form a tile. In a tile, pairs of different components survive if their
-   sizes fit and if the bit counts of their signatures do not already bound the overlap below what is
-   needed. Survivors are verified exactly, too, and joined into the components.
+   whose size bands can meet form a tile, unless both lie in the run's first component. In a tile, pairs
+   of different components survive if their sizes and places fit and if the bit counts of their signatures
+   do not already bound the overlap below what is needed. A pair that shares one of its first few members
+   is left to the run of the first of these. Survivors are verified exactly, too, and joined into the components.
 """
 
 from __future__ import annotations
@@ -23,15 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taleforge.llm.common import binaries, distinct_by_row, mix, rebatched, shingle_hashes, stash, text_bytes, word_hashes
+from taleforge.llm.common import binaries, discard, distinct_by_row, mix, rebatched, shingle_hashes, stash, text_bytes, word_hashes
 from taleforge.llm.graph import components
 
 #: Rows of a run that one side of a tile holds.
 TILE_ROWS = 1024
 #: Bits of the driver's filter of texts that need their sets again.
 WANTED_BITS = 1 << 23
-#: Texts sampled to find common shingles, and how many of those are kept at most.
-SAMPLE_ROWS, COMMON_MOST = 4000, 200_000
+#: Texts sampled to find common shingles, and how many of those are kept at most (12 bytes each). They only order the members.
+SAMPLE_ROWS, COMMON_MOST = 12_000, 400_000
+#: First members of a set that go along into its tiles, so that a pair is found in one run and not in all that it shares.
+HEADS = 4
+#: Bits of a signature for each member, at least.
+BITS = 2
+#: Classes whose sketch a task remembers having written.
+REMEMBERED = 1 << 18
 
 
 def needed_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -45,8 +54,8 @@ def prefix_length(size: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signature_bytes(size: int) -> int:
-    """Width of a set's signature: 4 to 8 bits a member, a power of two, 64 bits at least."""
-    return max(64, 1 << max(0, int(4 * size - 1).bit_length())) // 8
+    """Width of a set's signature: 2 to 4 bits a member, a power of two, 64 bits at least."""
+    return max(64, 1 << max(0, int(BITS * size - 1).bit_length())) // 8
 
 
 def sets_of(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,35 +72,46 @@ def digests(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def _sketcher(text: str, n: int, num: int, den: int, common: np.ndarray) -> Callable:
+def _sketcher(text: str, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray]) -> Callable:
+    """Of each row its size and digests; of the first row of a class in a task also prefix and signature."""
+    shared, rank = common
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in rebatched(batches, text):
             values, offsets = sets_of(batch, text, n)
             size = np.diff(offsets)
             k1, k2 = digests(values, offsets)
             late = np.zeros(len(values), bool)
-            if len(common) and len(values):
-                late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
+            if len(shared) and len(values):
+                at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+                late = shared[at] == values
             take = np.where(size > 0, prefix_length(size, num, den), 0)
-            heads, marks = [], []
-            for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), take.tolist(), strict=True):
+            heads: list = []
+            marks: list = []
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for a, b, k, cid in zip(offsets[:-1].tolist(), offsets[1:].tolist(), take.tolist(), k1.tolist(), strict=True):
+                if a == b or cid in seen:
+                    heads.append(None)
+                    marks.append(None)
+                    continue
+                seen.add(cid)
                 own, bits = values[a:b], np.zeros(signature_bytes(b - a) * 8, np.uint8)
-                if late[a:b].any():
-                    own = np.concatenate([own[~late[a:b]], own[late[a:b]]])
-                heads.append(own[:k])
                 bits[(mix(own) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-                marks.append(np.packbits(bits, bitorder="little").tobytes() if b > a else b"")
-            prefix = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), pa.array(size, pa.int64()), pa.array(k1), pa.array(k2), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())) if len(prefix) else pa.array([[]] * batch.num_rows, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["id", "size", "cid", "k2", "prefix", "sig"],
-            )
+                marks.append(np.packbits(bits, bitorder="little").tobytes())
+                if late[a:b].any():
+                    last = np.flatnonzero(late[a:b])
+                    own = np.concatenate([own[~late[a:b]], own[last[np.argsort(rank[at[a:b][last]])]]])
+                heads.append(own[:k].view(np.int64))
+            columns = [batch.column("__id"), pa.array(size, pa.int64()), pa.array(k1), pa.array(k2), pa.array(heads, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "cid", "k2", "prefix", "sig"])
 
     return run
 
 
-def _common(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Shingles that several of SAMPLE_ROWS hashed texts hold: a bounded list that only orders the members."""
+def _common(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of SAMPLE_ROWS hashed texts hold, and their places from rare to frequent: a bounded list that only orders the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches, text):
@@ -103,7 +123,9 @@ def _common(docs: DataFrame, text: str, n: int) -> np.ndarray:
     part = docs if rows <= SAMPLE_ROWS else docs.where(F.pmod(F.xxhash64("__id"), F.lit(rows)) < SAMPLE_ROWS)
     seen = part.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.count_distinct("c").alias("n")).where("n >= 4")
     found = seen.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toPandas()["h"].to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    values = found.astype(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(order) - order).astype(np.int32)
 
 
 def _wanted(ids: DataFrame) -> np.ndarray:
@@ -181,10 +203,14 @@ def _fold(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] | bits[:, half:]
 
 
-def tile_pairs(tile: np.ndarray, size: np.ndarray, root: np.ndarray, cid: np.ndarray, side: np.ndarray, sigs: list, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each tile (rows sorted by tile) with other roots, fitting sizes and enough room in their signatures.
+def tile_pairs(
+    tile: np.ndarray, size: np.ndarray, root: np.ndarray, cid: np.ndarray, side: np.ndarray, pos: np.ndarray, first: np.ndarray, sigs: list, num: int, den: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each tile (rows sorted by tile) with other roots, fitting sizes and places and enough room in their signatures.
 
-    side: 0 or 1 where the tile holds two blocks (only pairs across count), else 2.
+    side: 0 or 1 where the tile holds two blocks (only pairs across count), else 2. pos: the place of the run's
+    member in the own prefix; first: the first HEADS members of the prefix (rows, HEADS). A pair is left out
+    where both have a common member before the run's one: it is found there.
     """
     width = np.array([len(s) for s in sigs])
     place = np.zeros(len(sigs), np.int64)
@@ -196,12 +222,14 @@ def tile_pairs(tile: np.ndarray, size: np.ndarray, root: np.ndarray, cid: np.nda
         half[w] = _fold(own[w]) if w > 8 else own[w]
     left, right = [], []
     live = np.arange(len(tile))
+    rest = size - pos
     gap = 1
     while len(live):
         live = live[live + gap < len(tile)]
         live = live[tile[live] == tile[live + gap]]
         i, j = live, live + gap
-        fit = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
+        fit = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (needed_overlap(size[i], size[j], num, den) <= np.minimum(rest[i], rest[j]))
+        fit &= den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j])
         i, j = i[fit], j[fit]
         swap = size[i] > size[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -212,12 +240,17 @@ def tile_pairs(tile: np.ndarray, size: np.ndarray, root: np.ndarray, cid: np.nda
                     x, y = own[w][place[i[at]]], table[k][place[j[at]]]
                     least = np.minimum(size[i[at]] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), size[j[at]] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
                     good = least >= needed_overlap(size[i[at]], size[j[at]], num, den)
-                    left.append(cid[i[at][good]])
-                    right.append(cid[j[at][good]])
+                    left.append(i[at][good])
+                    right.append(j[at][good])
         gap += 1
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
+    i, j = np.concatenate(left), np.concatenate(right)
+    before = np.zeros(len(i), bool)
+    for x in range(first.shape[1]):
+        for y in range(first.shape[1]):
+            before |= (first[i, x] == first[j, y]) & (x < pos[i]) & (y < pos[j])
+    a, b = cid[i[~before]], cid[j[~before]]
     return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -226,8 +259,10 @@ def _tiler(num: int, den: int) -> Callable:
         rest: pa.Table | None = None
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            col = {k: t.column(k).combine_chunks().to_numpy() for k in ("tile", "size", "root", "cid", "side")}
-            a, b = tile_pairs(col["tile"], col["size"], col["root"], col["cid"], col["side"], t.column("sig").to_pylist(), num, den)
+            col = {k: t.column(k).combine_chunks().to_numpy().astype(np.int64) for k in ("tile", "size", "root", "cid", "side", "pos")}
+            sigs = t.column("sig").to_pylist()
+            first = np.frombuffer(b"".join(t.column("first").to_pylist()), np.uint64).reshape(-1, HEADS)
+            a, b = tile_pairs(*(col[k] for k in ("tile", "size", "root", "cid", "side", "pos")), first, sigs, num, den)
             both = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -257,38 +292,45 @@ def ngram_jaccard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, n))
     sketch = stash(docs.mapInArrow(lambda it: _sketcher(text_col, n, num, den, common.value)(it), "id bigint, size bigint, cid bigint, k2 bigint, prefix array<bigint>, sig binary"), f"{name}-sketch")
     groups = stash(sketch.where("size > 0").groupBy("cid", "k2", "size").agg(F.min("id").alias("id")), f"{name}-classes")
-    # one sketch of each class: that of its smallest id (any, where ids repeat or are null)
-    runs = sketch.where("size > 0").join(groups.select("cid", F.col("id").alias("__first")), "cid").where("id <=> __first").dropDuplicates(["cid"])
-    member = runs.select("cid", "size", "sig", F.explode("prefix").alias("key"))
-    # a member whose neighbours by size are both too far off has no partner in the run
+    # the members of all prefixes, once for each class (tasks may each have written one)
+    member = sketch.where("prefix is not null").select("cid", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "key"))
+    member = member.repartition("key").dropDuplicates(["key", "cid"])
+    # the largest partner that the overlap from this place on allows; members without a fitting neighbour by size go
+    member = member.withColumn("cap", F.expr(f"cast((size - pos) * {num + den}L div {num} - size as int)"))
     whole, by_size = W.partitionBy("key"), W.partitionBy("key").orderBy("size", "cid")
-    runs = member.select("key", "cid", "size").withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size)})
-    runs = runs.where(f"{den} * below >= {num} * size or {den} * size >= {num} * above").drop("below", "above")
-    runs = stash(runs.withColumn("least", F.min("cid").over(whole)), f"{name}-runs")
-    after = F.lead(F.struct("cid", "size")).over(by_size)
-    near = runs.withColumn("next", after)
-    fits = f"{den} * least(size, s2) >= {num} * greatest(size, s2)"
-    center = runs.alias("r").join(groups.select(F.col("cid").alias("least"), F.col("size").alias("s2")), "least").where("cid <> least").select("cid", F.col("least").alias("c2"), "size", "s2")
-    chain = near.where("next is not null").select("cid", F.col("next.cid").alias("c2"), "size", F.col("next.size").alias("s2"))
-    first = center.union(chain).where(fits).select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct()
-    first = _plausible(stash(first, f"{name}-near"), sketch, num, den)
-    links = _verified(first, groups, docs, text_col, n, num, den, f"{name}-first")
+    runs = member.withColumns({"below": F.lag("size").over(by_size), "above": F.lead("size").over(by_size), "reach": F.max("cap").over(by_size.rowsBetween(W.unboundedPreceding, -1))})
+    runs = runs.where(f"({den}L * below >= {num}L * size and reach >= size) or above <= cap").select("key", "cid", "size", "pos")
+    runs = runs.withColumns({"least": F.min(F.struct("cid", "size")).over(whole), "next": F.lead(F.struct("cid", "size")).over(by_size)})
+    runs = stash(runs.where("next is not null or least.cid <> cid"), f"{name}-runs")
+    links_of = [runs.where(f"{c}.cid <> cid and {den}L * least(size, {c}.size) >= {num}L * greatest(size, {c}.size)").select(F.least("cid", f"{c}.cid").alias("a"), F.greatest("cid", f"{c}.cid").alias("b")) for c in ("least", "next")]
+    near = stash(links_of[0].union(links_of[1]).distinct(), f"{name}-near")
+    links = _verified(_plausible(near, sketch, num, den), groups, docs, text_col, n, num, den, f"{name}-first")
+    discard(near)
     roots = stash(components(links, f"{name}-first"), f"{name}-roots")
 
-    # what the first links leave open
-    rooted = runs.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "size", F.coalesce("root", "cid").alias("root"))
-    rooted = rooted.withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)}).where("lo <> hi").drop("lo", "hi")
-    block = F.floor((F.row_number().over(W.partitionBy("key").orderBy("size", "cid")) - 1) / F.lit(TILE_ROWS))
-    blocks = stash(rooted.withColumn("block", block), f"{name}-blocks")
-    spans = blocks.groupBy("key", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    # what the first links leave open: runs of several roots, small ones as one tile, larger ones in blocks
+    rooted = runs.select("key", "cid", "size", "pos").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = rooted.withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole), "n": F.count("*").over(whole)}).where("lo <> hi")
+    inner = F.when(F.col("n") > TILE_ROWS, F.col("root") == F.col("lo")).otherwise(F.lit(False))
+    rooted = rooted.withColumn("inner", inner).drop("lo", "hi")
+    block = F.floor((F.row_number().over(W.partitionBy("key", "inner").orderBy("size", "cid")) - 1) / F.lit(TILE_ROWS)) * 2 + F.col("inner").cast("int")
+    blocks = stash(rooted.withColumn("block", block).drop("inner"), f"{name}-blocks")
+    discard(runs)
+    columns = ["size", "pos", "root", "cid"]
+    large = blocks.where(f"n > {TILE_ROWS}")
+    spans = large.groupBy("key", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     x, y = spans.alias("x"), spans.alias("y")
-    meet = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.block") <= F.col("y.block")) & (den * F.col("x.high") >= num * F.col("y.low")))
+    meet = x.join(y, F.col("x.key") == F.col("y.key")).where(f"x.block <= y.block and {den}L * x.high >= {num}L * y.low and {den}L * y.high >= {num}L * x.low and not (x.block % 2 = 1 and y.block % 2 = 1)")
     meet = meet.select(F.col("x.key").alias("key"), F.col("x.block").alias("p"), F.col("y.block").alias("q"))
     sides = meet.select("key", "p", "q", F.col("p").alias("block"), F.when(F.col("p") == F.col("q"), 2).otherwise(0).alias("side")).union(meet.where("p < q").select("key", "p", "q", F.col("q").alias("block"), F.lit(1).alias("side")))
-    marks = sketch.where("size > 0").select("cid", "sig").join(blocks.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
-    tiles = blocks.join(sides, ["key", "block"]).join(marks, "cid").select(F.xxhash64("key", "p", "q").alias("tile"), "size", "root", "cid", F.col("side").cast("bigint").alias("side"), "sig")
+    tiles = blocks.where(f"n <= {TILE_ROWS}").select(F.xxhash64("key").alias("tile"), *columns, F.lit(2).alias("side")).union(large.join(sides, ["key", "block"]).select(F.xxhash64("key", "p", "q").alias("tile"), *columns, "side"))
+    head = F.unhex(F.array_join(F.transform(F.slice("prefix", 1, HEADS), lambda v: F.lpad(F.hex(v), 16, "0")), ""))
+    marks = sketch.where("prefix is not null").select("cid", "sig", F.rpad(head, 8 * HEADS, F.lit(b"\0")).alias("first"))
+    marks = marks.join(blocks.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    tiles = tiles.join(marks, "cid").select("tile", *columns, "side", "sig", "first")
     found = tiles.repartition("tile").sortWithinPartitions("tile", "size", "cid").mapInArrow(_tiler(num, den), "a bigint, b bigint").distinct()
     more = _verified(found, groups, docs, text_col, n, num, den, f"{name}-more")
+    discard(blocks)
     links = links.union(more)
     roots = components(links, f"{name}-all")
 

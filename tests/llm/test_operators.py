@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from taleforge.llm import audio_fingerprint as audio
 from taleforge.llm import bloom_lm, graph, language_id, license_scan
+from taleforge.llm import ngram_jaccard as jaccard
 from taleforge.llm import quality_cotraining as quality
 from taleforge.llm.additive_quantisation import nearest
 from taleforge.llm.bpe import encode_table
 from taleforge.llm.ngram_jaccard import ngram_jaccard
 from taleforge.llm.packing import pack
-from taleforge.llm.queries import op8_chroma_fingerprint
+from taleforge.llm.queries import op4_ngram_jaccard, op8_chroma_fingerprint
 from taleforge.llm.sharding import shard
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, cid bigint"
@@ -70,7 +71,7 @@ def linked(rows, num, den, n=4):
 
     for i in range(len(rows)):
         for j in range(i):
-            both = len(s[i] & s[j])
+            both = len(s[i] & s[j]) if min(len(s[i]), len(s[j])) * den >= num * max(len(s[i]), len(s[j])) else 0
             if both and den * both >= num * (len(s[i]) + len(s[j]) - both):
                 parent[find(i)] = find(j)
     out = []
@@ -86,7 +87,7 @@ def test_jaccard_on_odd_rows(odd, empty):
     assert ngram_jaccard(empty).collect() == []
 
 
-def test_jaccard_finds_what_all_pairs_find(spark):
+def test_jaccard_finds_what_all_pairs_find(spark, monkeypatch):
     rng = np.random.default_rng(0)
     vocab = [f"w{i}" for i in range(300)]
     common = " ".join(rng.choice(vocab, 40))
@@ -99,11 +100,33 @@ def test_jaccard_finds_what_all_pairs_find(spark):
                 words[at] = str(rng.choice(vocab))
             rows.append((len(rows), " ".join(words) + (f" {common}" if k % 3 == 0 else "")))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    for n, num in ((4, 85), (5, 80), (4, 60)):
+    for n, num, tile in ((4, 85, 1024), (5, 80, 3), (4, 60, 2)):
+        monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
         got = [tuple(r) for r in ngram_jaccard(docs, n=n, num=num, den=100).collect()]
         assert sorted(got, key=repr) == linked(rows, num, 100, n)
 
 
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Texts about the threshold apart, in runs of many tiles, beside a class that many tasks see."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.integers(0, 60, int(rng.integers(0, 5))):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, "the same words in a row each time") for i in range(60)]
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 16)
+    got = [tuple(r) for r in ngram_jaccard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), n=4, num=85, den=100).collect()]
+    assert sorted(got, key=repr) == linked(rows, 85, 100)
+
+
+def test_op4_query_against_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in op4_ngram_jaccard(spark, "/root/testdata/sf0.001").collect()), key=repr) == linked(rows, 85, 100)
+
+
 @pytest.mark.parametrize("per_task", [1_000_000, 7])
 def test_components_in_one_task_or_many(spark, monkeypatch, per_task):
     monkeypatch.setattr(graph, "EDGES_PER_TASK", per_task)
@@ -335,10 +358,8 @@ def test_pipeline_keeps_clean_documents_and_one_of_each_group(spark):
     assert spoken.count() == kept.count()  # all of these have a language
     single = p.near_duplicates(spark, spoken, sf)
     rows = [(r.doc_id, r.text) for r in spoken.select("doc_id", "text").collect()]
-    want = {c for _, _, c in linked(rows, 80, 100, 5)} if len(rows) < 400 else None
     got = {r.doc_id for r in single.select("doc_id").collect()}
-    if want is not None:
-        assert got == want
+    assert got == {c for _, _, c in linked(rows, 80, 100, 5)}
     assert len(got) < len(rows) and single.columns == docs.columns
 
 

@@ -63,10 +63,17 @@ def test_tiles_keep_every_similar_pair():
         sigs.append(np.packbits(bits, bitorder="little").tobytes())
     n = len(sets)
     ids = np.arange(n)
-    a, b = ngram_jaccard.tile_pairs(np.zeros(n, int), np.array([len(s) for s in sets]), ids, ids, np.full(n, 2), sigs, 85, 100)
+    size, first = np.array([len(s) for s in sets]), np.zeros((n, 4), np.uint64)
+    a, b = ngram_jaccard.tile_pairs(np.zeros(n, int), size, ids, ids, np.full(n, 2), np.zeros(n, int), first, sigs, 85, 100)
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     assert want and want <= found and len(found) < n * (n - 1) // 4
+    # in a run of the second member, pairs with the same first member are left out; a late place leaves no room
+    first[::2, 0], first[1::2, 0] = 7, np.arange(100, 100 + len(first[1::2]))
+    a, b = ngram_jaccard.tile_pairs(np.zeros(n, int), size, ids, ids, np.full(n, 2), np.ones(n, int), first, sigs, 85, 100)
+    assert {(i, j) for i, j in want if i % 2 or j % 2} <= set(zip(a.tolist(), b.tolist(), strict=True)) | {(i, j) for i, j in want if 185 * (size[[i, j]].min() - 1) < 85 * size[[i, j]].sum()}
+    assert not any(i % 2 == 0 and j % 2 == 0 for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert not len(ngram_jaccard.tile_pairs(np.zeros(n, int), size, ids, ids, np.full(n, 2), size // 3, first, sigs, 85, 100)[0])
 
 
 def test_slot_map_balances_and_grows_only_into_the_new_shard():
