@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleforge.llm import audio_fingerprint as audio
+from taleforge.llm import additive_quantisation as aq
 from taleforge.llm import bloom_lm, graph, language_id, license_scan
 from taleforge.llm import ngram_jaccard as jaccard
 from taleforge.llm import quality_cotraining as quality
@@ -168,18 +169,66 @@ def test_neighbours_are_exact_on_few_rows_and_odd_vectors_take_no_part(spark):
     assert [(r.rank, r.vec_id) for r in sorted(few, key=lambda r: r.rank)] == [(1, 1), (2, 2)]
 
 
+def brute_neighbours(ids, x, k=20):
+    out = {}
+    for q in ids[ids % 20 == 0].tolist():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        out[q] = set(ids[np.lexsort((ids, -s))[:k]].tolist())
+    return out
+
+
 def test_recall_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     frame = rows.toPandas()
     ids, x = frame["vec_id"].to_numpy(), np.array(frame["embedding"].tolist(), float)
-    got = nearest(rows, queries=F.col("vec_id") % 20 == 0, k=20).toPandas().groupby("query_id")["vec_id"].agg(set)
-    hit = total = 0
-    for q in ids[ids % 20 == 0]:
-        s = x @ x[ids == q][0]
-        s[ids == q] = -np.inf
-        want = set(ids[np.lexsort((ids, -s))[:20]].tolist())
-        hit, total = hit + len(want & got[q]), total + 20
-    assert hit / total >= 0.9
+    got = nearest(rows, queries=F.col("vec_id") % 20 == 0, k=20).toPandas()
+    at = {i: n for n, i in enumerate(ids.tolist())}
+    assert np.allclose(got["score"], [x[at[a]] @ x[at[b]] for a, b in zip(got["query_id"], got["vec_id"], strict=True)], atol=1e-12)
+    mine = got.groupby("query_id")["vec_id"].agg(set)
+    want = brute_neighbours(ids, x)
+    assert np.mean([len(want[q] & mine[q]) / 20 for q in want]) >= 0.95
+
+
+def test_codes_and_not_the_rerank_decide():
+    """At the depth of the query the codes' own scores hold the neighbours of 50,000 rows; codes dealt anew at random don't."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((50_000, 64))
+    x *= rng.uniform(0.5, 2, (len(x), 1))
+    books = aq.learn(x[: aq.SAMPLE_ROWS])
+    units, norms = aq.directions(x)
+    codes = np.concatenate([books.encode(units[a : a + 2048]) for a in range(0, len(x), 2048)])
+    ids = np.arange(len(x))
+    hits = {}
+    for name, c in (("codes", codes), ("noise", rng.permutation(codes))):
+        scan = aq.Scan(aq.Codebooks(books.words, aq.CODEWORDS), np.zeros(aq.CODEWORDS, int), ids[:60], x[:60], aq.RERANK)
+        for a in range(0, len(x), 4096):
+            scan.feed(0, ids[a : a + 4096], norms[a : a + 4096], c[a : a + 4096])
+        out = scan.close().to_pandas().groupby("query_id")["id"].agg(set)
+        exact = x[:60] @ x.T
+        exact[np.arange(60), np.arange(60)] = -np.inf
+        hits[name] = np.mean([len(set(np.argsort(-exact[q])[:20].tolist()) & out[q]) / 20 for q in range(60)])
+    assert hits["codes"] >= 0.9 and hits["noise"] < 0.1
+
+
+def test_clustered_rows_visit_few_lists(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16)) * 4
+    x = centres[np.arange(4000) % 40] + 0.3 * rng.standard_normal((4000, 16))
+    assert aq.learn(x).visited < aq.CODEWORDS // 2
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), queries=F.col("vec_id") % 20 == 0, k=20).toPandas()
+    mine, want = got.groupby("query_id")["vec_id"].agg(set), brute_neighbours(np.arange(4000), x)
+    assert np.mean([len(want[q] & mine[q]) / 20 for q in want]) >= 0.95
+
+
+def test_repeated_ids_copies_and_other_lengths(spark):
+    rows = [(i % 3, [1.0, float(i % 3)]) for i in range(300)] + [(100 + i, [2.0, 0.5]) for i in range(300)] + [(900, [1.0, 2.0, 3.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), queries=F.col("vec_id").isin(0, 100), k=20).collect()
+    mine = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    assert mine[0] == [(100 + i, 2.0) for i in range(20)]
+    assert mine[100] == [(101 + i, 4.25) for i in range(20)]
+    few = spark.range(40_000).selectExpr("id % 3 as vec_id", "array(1f, cast(id % 3 as float)) as embedding")  # so few ids that no hash may fall into the sample
+    assert {r.query_id for r in nearest(few, queries=F.col("vec_id") == 0, k=20).collect()} == {0}
 
 
 def test_quality_on_odd_rows_and_held_out_labels(spark, odd, empty):
