@@ -11,7 +11,12 @@ from taleforge.functions.text import EDGE_AFTER, EDGE_BEFORE, LETTER, SPACE
 SHOUT = "shout|scream|yell|bellow|roar|exclaim|bark|thunder"
 WHISPER = "whisper|murmur|hiss|breathe|mutter|mumble"
 THOUGHT = "thought|wondered|mused|pondered|reflected|realized|considered"
-NOT_SHOUTED = "I OK USA FBI CIA DNA CEO PhD MRS MR MS DR NYC THE AND BUT FOR NOT YOU ALL CAN HAD HER WAS ONE OUR OUT".split()
+NOT_SHOUTED = [
+    "I", "OK", "USA", "FBI", "CIA", "DNA", "CEO", "PhD", "MRS", "MR", "MS", "DR", "NYC",
+    "THE", "AND", "BUT", "FOR", "NOT", "YOU", "ALL", "CAN", "HAD", "HER", "WAS", "ONE", "OUR", "OUT",
+]
+#: Classes of elements that break a scene.
+BREAK_CLASSES = ["break", "separator", "divider"]
 CURLY_OPEN, CURLY_CLOSE, SINGLE_OPEN, SINGLE_CLOSE = "“", "”", "‘", "’"
 #: Volume in dB and speed of each act; first names of the columns.
 DELIVERY = {"spoken": (0.0, 1.0), "whispered": (-4.5, 1.0), "shouted": (4.5, 1.08), "thought": (-3.0, 0.93)}
@@ -53,6 +58,11 @@ def scene_break(text: Column) -> Column:
     return text.rlike(SCENE_BREAK)
 
 
+def break_class(classes: Column) -> Column:
+    """An element's class that breaks a scene."""
+    return F.coalesce(F.arrays_overlap(classes, F.array(*map(F.lit, BREAK_CLASSES))), F.lit(False))
+
+
 def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
@@ -72,7 +82,7 @@ def block_type(tag: Column, text: Column, classes: Column, was_open: Column) ->
     return (
         F.when(tag.rlike("^h[1-6]$"), "chapter_heading")
         .when(tag == "hr", "scene_break")
-        .when(F.coalesce(F.arrays_overlap(classes, F.array(*map(F.lit, ("break", "separator", "divider")))), F.lit(False)), "scene_break")
+        .when(break_class(classes), "scene_break")
         .when(scene_break(text), "scene_break")
         .when(tag == "blockquote", "dialogue")
         .when(has_quote(text) | was_open, "dialogue")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's strip() and split() see it, and a word's letters.
 SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LETTER = r"[\p{L}\p{N}_]"
 EDGE_BEFORE, EDGE_AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
 
@@ -31,7 +32,7 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """without white space at both ends, Unicode white space included."""
-    return F.regexp_replace(col(x), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(col(x), F.lit(BLANKS))
 
 
 def name_key(x: Column | str) -> Column:
@@ -140,7 +141,7 @@ def byte_size(n: Column | str) -> Column:
 def mime_type(path: Column | str) -> Column:
     """of an image by its suffix; JPEG if unknown."""
     p = F.lower(col(path))
-    return F.when(p.endswith(".png"), "image/png").when(p.endswith(".gif"), "image/gif").when(p.endswith(".webp"), "image/webp").otherwise("image/jpeg")
+    return F.when(p.endswith(".png"), "image/png").when(p.endswith(".gif"), "image/gif").otherwise("image/jpeg")
 
 
 def known(x: Column | str) -> Column:

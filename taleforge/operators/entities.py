@@ -21,6 +21,8 @@ FUZZY, FUZZY_SHORT, SHORT = 0.85, 0.90, 6
 LONG = 64
 #: Letters put in order by their frequency (others come first), and parts that a block of names is dealt in.
 ORDERED, SPREAD = 1000, 16
+#: Edges that one task contracts.
+EDGES = 1_000_000
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -28,6 +30,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="taleforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/taleforge/{name}-{uuid.uuid4().hex}"
@@ -167,22 +171,46 @@ def places(rows: DataFrame, keys: list[Column]) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_at", "_before")
 
 
+def _stars(frames):
+    """The edges of one partition as stars: every node beside the smallest one it reaches there."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            u, v = top(u), top(v)
+            above[max(u, v)] = min(u, v)
+    found = [(x, top(x)) for x in list(above)]
+    yield pd.DataFrame([f for f in found if f[0] != f[1]], columns=["u", "v"]).astype("int64")
+
+
 def merge_components(pairs: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, root) for the closure of accepted pairs (a, b: bigint); root is the smallest member.
 
-    Large-star and small-star steps over one row an edge, written to the shared folder in every round.
+    Tasks of EDGES edges contract theirs; several tasks' stars are joined by large-star and small-star steps over one
+    row an edge, written to the shared folder in every round. A closure that needs more rounds raises.
     """
     now = stash(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    for _ in range(most_rounds):
+    tasks = max(1, -(-now.count() // EDGES))
+    now = stash((now.repartition(tasks, "u") if tasks > 1 else now.coalesce(1)).mapInPandas(_stars, "u bigint, v bigint"), "stars")
+    for k in range(most_rounds if tasks > 1 else 0):
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         small = stash(small, "stars")
-        if not small.exceptAll(now).limit(1).count() and not now.exceptAll(small).limit(1).count():
-            break
+        same = not small.exceptAll(now).limit(1).count() and not now.exceptAll(small).limit(1).count()
         now = small
+        if same:
+            break
+        if k == most_rounds - 1:
+            raise RuntimeError(f"the closure is not complete after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -240,8 +268,9 @@ def orphan_pairs(profiles: DataFrame, judged: DataFrame) -> DataFrame:
     """Named one-word profiles of at most one alias, each with every named profile of its gender, but for
     pairs (a, b) judged before in either order."""
     orphan = profiles.where(F.col("is_named") & (F.size(words("name")) == 1) & (F.size("aliases") <= 1)).select("idx", "gender")
-    other = profiles.where("is_named").select(F.col("idx").alias("other"), "gender")
-    pairs = orphan.join(other, "gender").where("idx <> other")
+    other = profiles.where("is_named").select(F.col("idx").alias("other"), "gender", F.pmod(F.xxhash64("idx"), F.lit(SPREAD)).cast("int").alias("_part"))
+    # few genders: each one's profiles are dealt in parts that all its orphans meet
+    pairs = orphan.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).join(other, ["gender", "_part"]).where("idx <> other")
     seen = judged.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     return pairs.withColumns({"lo": F.least("idx", "other"), "hi": F.greatest("idx", "other")}).join(seen, ["lo", "hi"], "left_anti").select("idx", "other")
 

@@ -12,6 +12,8 @@ from taleforge.functions.vectors import cosine
 
 #: Syllables a second of each pace.
 PACE_RATE = {"fast": 5.5, "rapid": 6.0, "clipped": 5.5, "moderate": 4.0, "measured": 3.5, "slow": 2.5, "deliberate": 3.0, "languid": 2.0}
+#: Asks that are broadcast at most, and parts that offers are dealt in beyond.
+ASKS, PARTS = 20_000, 64
 TARGET_S, LEAST_S, MOST_S, LEAST_BYTES, BYTES_PER_S = 12.5, 5.0, 25.0, 120_000, 48_000
 
 
@@ -59,12 +61,22 @@ def candidates(characters: DataFrame, speakers: DataFrame) -> DataFrame:
 def best_matches(asks: DataFrame, offers: DataFrame, *, k: int, taken: DataFrame | None = None, weak: float = 0.5) -> DataFrame:
     """Each ask's k most similar offers, without those taken; weak matches are marked.
 
-    asks (name, vector) are a stated, small set and are broadcast (checked); the top k are kept before the shuffle.
+    asks (name, vector) are a stated set: up to ASKS are broadcast, more meet the offers in blocks that are dealt in parts.
+    An ask with a column ``own`` is never offered that speaker; the top k are kept before the shuffle.
     """
     pool = offers if taken is None else offers.join(taken.select("speaker").distinct(), "speaker", "left_anti")
-    few = asks.select("name", F.col("vector").alias("_v"), F.lit(1).alias("_one"))
-    few = F.broadcast(few) if few.count() <= 20_000 else few
-    pairs = pool.withColumn("_one", F.lit(1)).join(few, "_one").select("name", "speaker", cosine(F.col("_v"), F.col("vector")).alias("score"))
+    own = F.col("own") if "own" in asks.columns else F.lit(None)
+    few = asks.select("name", F.col("vector").alias("_v"), own.alias("_own"), F.lit(1).alias("_one"))
+    n = few.count()
+    if n <= ASKS:
+        met = pool.withColumn("_one", F.lit(1)).join(F.broadcast(few), "_one")
+    else:
+        deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        blocks = -(-n // ASKS)
+        many = few.withColumn("_block", deal("name", blocks)).withColumn("_part", each(PARTS))
+        met = pool.withColumn("_part", deal("speaker", PARTS)).withColumn("_block", each(blocks)).join(many, ["_block", "_part"])
+    pairs = met.where("_own is null or _own <> speaker").select("name", "speaker", cosine(F.col("_v"), F.col("vector")).alias("score"))
     rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("score"), "speaker"))
     out = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.withColumn("warning", F.when(F.col("score") < weak, "weak match"))
@@ -131,7 +143,7 @@ def _solved(book, cast, offers, met) -> list[tuple]:
         free = next((s for s in wishes.get(name, []) if s not in taken), None)
         if free is not None:
             taken.add(free)
-            now[name][1:] = [free, 0.3, True, reason]
+            now[name][1:] = [free, 0.3, True, now[name][4] or reason]
         elif stuck:
             now[name][4] = stuck
 
@@ -144,7 +156,7 @@ def _solved(book, cast, offers, met) -> list[tuple]:
 
     for group in shared(True):
         for r in sorted(group, key=lambda r: -r["confidence"])[1:]:
-            move(r["name"], "Reassigned for uniqueness", "shares a speaker with another major character, no alternative available")
+            move(r["name"], "Reassigned for uniqueness", "Shares speaker with another major character — no alternative available")
     meet = {(r["a"], r["b"]) for r in met}
     for group in shared(False):
         for i, a in enumerate(group):

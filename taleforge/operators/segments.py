@@ -13,6 +13,7 @@ from taleforge.functions.text import keyword_hits, strip, token_estimate
 BACK_MATTER = r"(acknowledgment|acknowledgement|about\s+the\s+author|author\s+bio|reading\s+guide|also\s+by|excerpt|preview|note\s+from\s+the\s+author|discussion\s+questions)"
 ENDINGS = "(epilogue|afterword|coda|postscript)"
 OPENINGS = "(chapter|part|prologue)"
+ABBREVIATED = r"\b(Mr|Mrs|Ms|Dr|Prof|Capt|Col|Gen|Lt|Sgt|Rev|Hon|St|Jr|Sr|vs|etc|[A-Z])\."
 NUMBER_HEADING = r"(?i)^(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)(?:\s+[-–—:]\s+.+)?$"
 FIRST_PERSON = r"(?i)(?:^|[^\p{L}\p{N}_])(I |I'[mdvs](?:[^\p{L}\p{N}_]|$)|my |me |myself(?:[^\p{L}\p{N}_]|$)|mine )"
 
@@ -24,9 +25,9 @@ def _bounded(alternatives: str) -> str:
 def carry_state(blocks: DataFrame, *, key: str = "chapter", order: str = "pos") -> DataFrame:
     """``was_open`` and ``open``: whether a quotation is open before and after each block of a chapter.
 
-    blocks has tag, text and classes; headings, rules and scene breaks close it. One shuffle on the chapter.
+    blocks has tag, text and classes; headings, rules and scene breaks by class or text close it. One shuffle on the chapter.
     """
-    closes = F.col("tag").rlike("^h[1-6]$") | (F.col("tag") == "hr") | speech.scene_break(F.col("text"))
+    closes = F.col("tag").rlike("^h[1-6]$") | (F.col("tag") == "hr") | speech.break_class(F.col("classes")) | speech.scene_break(F.col("text"))
     signal = F.when(closes, F.lit(False)).otherwise(speech.quote_signal(F.col("text")))
     w = W.partitionBy(key).orderBy(order)
     before = w.rowsBetween(W.unboundedPreceding, -1)
@@ -69,9 +70,11 @@ def boundaries(segments: DataFrame, *, key: str = "chapter", order: str = "pos")
 
 
 def sentences(text: Column) -> Column:
-    """Runs up to and with their closing marks, stripped; empty ones dropped."""
-    parts = F.regexp_extract_all(text, F.lit("([^.!?]+[.!?]*)"), 1)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    """Runs up to and with their closing marks, stripped; empty ones dropped. The dots of abbreviations, of initials
+    and within numbers close nothing."""
+    held = F.regexp_replace(F.regexp_replace(text, ABBREVIATED, "$1\x01"), r"([0-9])\.([0-9])", "$1\x01$2")
+    parts = F.regexp_extract_all(held, F.lit("([^.!?]+[.!?]*)"), 1)
+    return F.filter(F.transform(parts, lambda p: strip(F.translate(p, "\x01", "."))), lambda s: s != "")
 
 
 def packed(parts: Column, most: int, least: int = 0, joint: str = " ") -> Column:

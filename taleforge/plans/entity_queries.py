@@ -212,17 +212,8 @@ def trait_descriptions(spark, d):
     return chars(spark, d).select("idx", F.when(s == "", "neutral voice").otherwise(s).alias("described"))
 
 
-@query("sorted_registry", f"with {CHARS} select idx, row_number() over (order by not is_named, lower(name), idx) place from chars order by not is_named, lower(name), idx limit 50")
+@query("sorted_registry", f"with {CHARS} select idx, row_number() over (order by not is_named, lower(name), idx) place from chars")
 def sorted_registry(spark, d):
-    """O1: the head of the registry, named ones first."""
-    from pyspark.sql.window import Window
-
-    head = chars(spark, d).orderBy(~F.col("is_named"), F.lower("name"), "idx").limit(50)
-    return head.select("idx", F.row_number().over(Window.orderBy(~F.col("is_named"), F.lower("name"), "idx")).alias("place")).orderBy("place")
-
-
-@query("whole_registry", f"with {CHARS} select idx, row_number() over (order by not is_named, lower(name), idx) place from chars")
-def whole_registry(spark, d):
     """O1: every profile with its place, named ones first."""
     return ops.places(chars(spark, d), [~F.col("is_named"), F.lower("name"), F.col("idx")]).select("idx", "place")
 
@@ -307,13 +298,13 @@ def candidate_filter(spark, d):
     return matching.candidates(asks, pool).groupBy("gender", "age_range").agg(F.count("*").alias("n"), F.sum("speaker").alias("ids"))
 
 
-_ASK = "asks as (select 'c' || vec_id as name, embedding v from embeddings where vec_id % 97 = 0), pool as (select vec_id speaker, embedding v from embeddings where vec_id % 97 <> 0 and vec_id % 11 <> 0), s as (select name, speaker, list_dot_product(a.v::double[], p.v::double[]) / sqrt(list_dot_product(a.v::double[], a.v::double[])) / sqrt(list_dot_product(p.v::double[], p.v::double[])) score from asks a cross join pool p), r as (select *, row_number() over (partition by name order by score desc, speaker)::int rank from s)"
+_ASK = "asks as (select 'c' || vec_id as name, embedding v from embeddings where vec_id % 50 = 0), pool as (select vec_id speaker, embedding v from embeddings where vec_id % 11 <> 0), s as (select name, speaker, list_dot_product(a.v::double[], p.v::double[]) / sqrt(list_dot_product(a.v::double[], a.v::double[])) / sqrt(list_dot_product(p.v::double[], p.v::double[])) score from asks a cross join pool p where a.name <> 'c' || p.speaker), r as (select *, row_number() over (partition by name order by score desc, speaker)::int rank from s)"
 
 
 def _matches(spark, d, k):
     v = vectors(spark, d)
-    asks = v.where("speaker % 97 = 0").select(F.concat(F.lit("c"), F.col("speaker").cast("string")).alias("name"), "vector")
-    return matching.best_matches(asks, v.where("speaker % 97 <> 0"), k=k, taken=v.where("speaker % 11 = 0").select("speaker"))
+    asks = v.where("speaker % 50 = 0").select(F.concat(F.lit("c"), F.col("speaker").cast("string")).alias("name"), "vector", F.col("speaker").alias("own"))
+    return matching.best_matches(asks, v, k=k, taken=v.where("speaker % 11 = 0").select("speaker"))
 
 
 @query("cosine_top1", f"with {_ASK} select name, speaker, round(score, 6) score, case when score < 0.5 then 'weak match' end warning from r where rank = 1")

@@ -97,7 +97,7 @@ def format_durations(spark, d):
     return o.select("o_orderkey", text.clock(F.col("o_totalprice") / 10).alias("took"), text.byte_size(F.col("o_totalprice") * 3000).alias("size"))
 
 
-@query("scalar_rules", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round(power(10.0, (l_discount * 100 - 5) / 20), 6) gain, round(20 * log10(greatest(l_tax, 1e-10)), 6) db, round_even(l_quantity / 2, 0) half_even, case l_linenumber % 4 when 0 then 'image/png' when 1 then 'image/gif' when 2 then 'image/webp' else 'image/jpeg' end mime, l_linenumber % 3 = 0 placeholder from lineitem")
+@query("scalar_rules", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, round(power(10.0, (l_discount * 100 - 5) / 20), 6) gain, round(20 * log10(greatest(l_tax, 1e-10)), 6) db, round_even(l_quantity / 2, 0) half_even, case l_linenumber % 4 when 0 then 'image/png' when 1 then 'image/gif' else 'image/jpeg' end mime, l_linenumber % 3 = 0 placeholder from lineitem")
 def scalar_rules(spark, d):
     """F16, F17, F21, P12."""
     x = table(spark, d, "lineitem")

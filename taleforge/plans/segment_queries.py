@@ -37,7 +37,7 @@ def low_conf_override(spark, d):
     return rules.join(model, "id", "left").select("id", F.coalesce("m_act", "act").alias("act"), F.coalesce("m_conf", "confidence").alias("confidence"))
 
 
-_SIGNAL = """signals as (select *, case when regexp_matches(tag, '^h[1-6]$') or tag = 'hr' or text = '***' then false
+_SIGNAL = """signals as (select *, case when regexp_matches(tag, '^h[1-6]$') or tag = 'hr' or divider or text = '***' then false
   when contains(text, '“') or contains(text, '”') then len(text) - len(replace(text, '“', '')) > len(text) - len(replace(text, '”', ''))
   when contains(text, '‘') or contains(text, '’') then len(text) - len(replace(text, '‘', '')) > len(text) - len(replace(text, '’', ''))
   when contains(text, '"') then (len(text) - len(replace(text, '"', ''))) % 2 = 1 end signal from lines),
@@ -69,7 +69,7 @@ def seg_quote_split(spark, d):
     return rows.select("chapter", "pos", F.size("q").alias("n"), F.explode("q").alias("u")).groupBy("chapter", "pos", "n").agg(F.sum(F.length("u.text")).alias("chars"), F.count_if(F.col("u.type") == "dialogue").alias("quoted"))
 
 
-@query("seg_sentences", """with s as (select doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) s from documents) select doc_id, count(*) n, max(length(s))::int longest, count_if(length(s) > 280) long from s group by 1""")
+@query("seg_sentences", """with s as (select doc_id, unnest(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '\\b(Mr|Mrs|Ms|Dr|Prof|Capt|Col|Gen|Lt|Sgt|Rev|Hon|St|Jr|Sr|vs|etc|[A-Z])\\.', '\\1' || chr(1), 'g'), '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[^.!?]+[.!?]*'), lambda x: regexp_replace(translate(x, chr(1), '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) s from documents) select doc_id, count(*) n, max(length(s))::int longest, count_if(length(s) > 280) long from s group by 1""")
 def seg_sentences(spark, d):
     """T1 by rules: the trained splitter is not available."""
     rows = table(spark, d, "documents").select("doc_id", F.explode(ops.sentences(F.col("text"))).alias("s"))
@@ -82,7 +82,7 @@ def seg_ids(spark, d):
     return ops.sequential_ids(seg(spark, d), book="book", chapter="chapter", order=["pos"]).select("book", "chapter", "pos", "seq")
 
 
-@query("seg_chunk_pack", """with recursive s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') l from documents),
+@query("seg_chunk_pack", """with recursive s as (select doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '\\b(Mr|Mrs|Ms|Dr|Prof|Capt|Col|Gen|Lt|Sgt|Rev|Hon|St|Jr|Sr|vs|etc|[A-Z])\\.', '\\1' || chr(1), 'g'), '([0-9])\\.([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[^.!?]+[.!?]*'), lambda x: regexp_replace(translate(x, chr(1), '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') l from documents),
   f as (select doc_id, l, 1 i, 0 done, length(l[1]) now, 0 longest from s where len(l) > 0
    union all select doc_id, l, i + 1, case when now + 1 + length(l[i + 1]) > 580 then done + 1 else done end, case when now + 1 + length(l[i + 1]) > 580 then length(l[i + 1]) else now + 1 + length(l[i + 1]) end, longest from f where i < len(l))
   select doc_id, case when now < 200 and done > 0 then done else done + 1 end::int n from f where i = len(l)""")
