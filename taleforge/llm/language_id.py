@@ -8,13 +8,13 @@ expected count. Only sums over the fixed vocabulary leave the executors.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +27,12 @@ ROWS_PER_LANGUAGE = 1500
 ROUNDS = 2
 #: Runs between white space, and words, that a worker keeps of each.
 CACHE = 400_000
-#: Longer words are summed one by one, with scaling.
+#: Longer words are scored one by one, with scaling, and learned from in stretches of this length.
 LONG = 60
 #: Probability of a letter that no piece covers, the same in every language.
 UNKNOWN = 1e-7
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters; numerals such as fractions and circled digits are none.
+WORD = regex.compile(r"\p{L}+")
 
 
 class Pieces:
@@ -159,7 +160,7 @@ def _expected(train: DataFrame, model: LanguageModel, uniform: bool) -> np.ndarr
         for batch in batches:
             words: dict[int, Counter] = {}
             for text, lang in zip(batch.column("__text"), batch.column("__lang"), strict=True):
-                words.setdefault(lang.as_py(), Counter()).update(w for w in words_of(text.as_py()) if len(w) <= LONG)
+                words.setdefault(lang.as_py(), Counter()).update(w[k : k + LONG] for w in words_of(text.as_py()) for k in range(0, len(w), LONG))
             for lang, counts in words.items():
                 own, table = list(counts), known.table[:, lang : lang + 1]
                 for at in range(0, len(own), 4096):
