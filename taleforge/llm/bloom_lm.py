@@ -31,7 +31,7 @@ ROOM = 4
 #: Bytes of the filter that a worker holds at once, give or take a segment.
 PART_BYTES = 64 << 20
 PROBES = 2
-#: Words whose exact counts are broadcast at most (12 bytes each).
+#: Words whose exact counts are broadcast at most (16 bytes each).
 FREQUENT = 1 << 20
 #: Grams that a task holds before it sends them on.
 HELD = 4_000_000
@@ -173,7 +173,7 @@ def _count(train: DataFrame, text: str, segments: int, slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        size = 0
+        size = total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, parts in enumerate(held):
@@ -198,10 +198,10 @@ def _count(train: DataFrame, text: str, segments: int, slots: int) -> DataFrame:
             pairs, m = np.unique(pair_gram(before, tokens), return_counts=True)
             held[0].append((words, n))
             held[1] += [(word_gram(words), n), (word_gram(np.array([BEGIN])), context), (pairs, m)]
-            size += len(pairs)
-            if size > HELD:
+            size, total = size + len(pairs), total + len(tokens)
+            if size > HELD or total >= 1 << 31:  # a partial count fits 32 bits; the sums have 64
                 yield from flush()
-                size = 0
+                size = total = 0
         yield from flush()
 
     return train.mapInArrow(run, "kind int, slot int, keys binary, counts binary")
@@ -217,7 +217,7 @@ def _merge(parts: DataFrame, segments: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             if name is not None:
                 k, c = summed(np.concatenate(keys), np.concatenate(counts))
-                data = (segment_bits(k, c, segment_width(c, least)).tobytes(), b"") if name[0] else (k.tobytes(), c.astype(np.uint32).tobytes())
+                data = (segment_bits(k, c, segment_width(c, least)).tobytes(), b"") if name[0] else (k.tobytes(), c.astype(np.uint64).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int32()), pa.array([name[1]], pa.int32()), pa.array([data[0]], pa.binary()), pa.array([data[1]], pa.binary())], names=["kind", "slot", "keys", "counts"])
 
         for b in batches:
@@ -240,7 +240,7 @@ def _sizes(words: DataFrame) -> np.ndarray:
         total = np.zeros((len(LEVELS) + 1, 2))
         for b in batches:
             for c in b.column("counts"):
-                c = np.frombuffer(c.as_buffer(), np.uint32)
+                c = np.frombuffer(c.as_buffer(), np.uint64).astype(np.int64)
                 q = level(c)
                 total[:, 0] += np.bincount(q, minlength=len(total))
                 total[:, 1] += np.bincount(q, c, len(total))
@@ -259,13 +259,13 @@ def _frequent(words: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, c in zip(b.column("keys"), b.column("counts"), strict=True):
-                k, c = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32)
+                k, c = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64)
                 keep = c >= least
                 yield pa.RecordBatch.from_arrays([pa.array([k[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["k", "c"])
 
-    got = [(np.frombuffer(r.k, np.uint64), np.frombuffer(r.c, np.uint32)) for r in words.mapInArrow(run, "k binary, c binary").toLocalIterator()]
+    got = [(np.frombuffer(r.k, np.uint64), np.frombuffer(r.c, np.uint64)) for r in words.mapInArrow(run, "k binary, c binary").toLocalIterator()]
     if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     keys, counts = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -412,7 +412,7 @@ def score(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: s
         for b in batches:
             for kind, slot, k, c in zip(*(b.column(x) for x in ("kind", "slot", "keys", "counts")), strict=True):
                 if kind.as_py() == 0:
-                    name, keys, counts = slot.as_py(), np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(float)
+                    name, keys, counts = slot.as_py(), np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64).astype(float)
                 elif name == slot.as_py() and len(keys):
                     asked, rows = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
                     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
