@@ -32,7 +32,9 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Votes an offset needs, integers two recordings have to overlap by, and the share of differing bits allowed.
 VOTES, OVERLAP, ERRORS = 3, 16, 0.3
 #: Recordings of a block, and queries of one.
-BLOCK, QUERIES = 4096, 256
+BLOCK, QUERIES = 4096, 4096
+#: Queries of a block that are aligned at once.
+ALIGNED = 256
 
 
 def decode(data: bytes | None) -> np.ndarray:
@@ -44,9 +46,13 @@ def decode(data: bytes | None) -> np.ndarray:
             width, channels, rate, raw = file.getsampwidth(), file.getnchannels(), file.getframerate(), file.readframes(file.getnframes())
     except (wave.Error, EOFError):
         return np.zeros(0)
-    if width not in (1, 2, 4) or not raw or not rate:
+    if width not in (1, 2, 3, 4) or not raw or not rate:
         return np.zeros(0)
     raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 3:  # as the upper three bytes of four
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, width = wide.tobytes(), 4
     x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(float)
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     x = x.reshape(-1, channels).mean(1)
@@ -214,7 +220,7 @@ def alignments(queries: DataFrame, recordings: DataFrame, *, name: str = "audio"
         for b in batches:
             for row in b.to_pylist():
                 q, r = ([np.frombuffer(c, "<u4") for c in row[k]] for k in ("codes", "rcodes"))
-                found = [(row["ids"][i], row["rids"][j], offset, error, n) for i, j, offset, error, n in align(q, r)]
+                found = [(row["ids"][at + i], row["rids"][j], offset, error, n) for at in range(0, len(q), ALIGNED) for i, j, offset, error, n in align(q[at : at + ALIGNED], r)]
                 frame = pd.DataFrame(found, columns=["query_id", "match_id", "offset", "bit_error", "overlap"]).astype({"query_id": "int64", "match_id": "int64", "offset": "int32", "bit_error": "float64", "overlap": "int32"})
                 yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
