@@ -34,12 +34,21 @@ class SlotMap:
         return total
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The map as (version, slot, shard, bytes, rows)."""
-        entries = [{"version": self.version, "slot": i, "shard": s, "bytes": b, "rows": r} for i, (s, b, r) in enumerate(zip(self.shard, self.size, self.rows, strict=True))]
-        kind = "array<struct<version:int,slot:int,shard:int,bytes:bigint,rows:bigint>>"
+        """The map as (version, shards, slot, shard, bytes, rows)."""
+        entries = [{"version": self.version, "shards": self.shards, "slot": i, "shard": s, "bytes": b, "rows": r} for i, (s, b, r) in enumerate(zip(self.shard, self.size, self.rows, strict=True))]
+        kind = "array<struct<version:int,shards:int,slot:int,shard:int,bytes:bigint,rows:bigint>>"
         return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(entries)), kind)).alias("e")).select("e.*")
 
 
+    @staticmethod
+    def read(rows: DataFrame, version: int | None = None) -> SlotMap:
+        """A version of the map (the newest one) from the stored table of all versions; one row a slot."""
+        got = sorted(rows.where(F.col("version") == (rows.agg(F.max("version")).first()[0] if version is None else version)).collect(), key=lambda r: r.slot)
+        if not got:
+            raise ValueError(f"the table holds no version {version} of the map")
+        return SlotMap(got[0].version, got[0].shards, *(tuple(r[k] for r in got) for k in ("shard", "bytes", "rows")))
+
+
 def first_map(size: list[int], rows: list[int], shards: int) -> SlotMap:
     """Version 0: slots are dealt to the shards in turn."""
     return SlotMap(0, shards, tuple(i % shards for i in range(len(size))), tuple(size), tuple(rows))
@@ -97,12 +106,14 @@ def sized(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
     return out.withColumn("virtual_slot", F.pmod(F.xxhash64(id_col, "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
-def shard(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, old: SlotMap | None = None, name: str = "shard") -> tuple[DataFrame, SlotMap]:
+def shard(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, old: SlotMap | None = None, name: str = "shard", stored: list[DataFrame] | None = None) -> tuple[DataFrame, SlotMap]:
     """Rows with their shard and their gapless place in it, and the map that decides; law ``bytes``.
 
     A row's size is its text's UTF-8 bytes (null: none) plus 8. Its virtual slot is a hash of id, text
     checksum and size, so null or repeated ids spread, and equal rows share a slot. Pass the map in force as
-    ``old`` to edit it instead of starting anew. Only ``slots`` sums reach the driver. The place is the
+    ``old`` to edit it instead of starting anew; otherwise version 0 deals the slots in turn. Both the map in force
+    and its edit are stored as a table, and rows are placed by the version read back from there (``stored``
+    keeps it). Only ``slots`` sums reach the driver. The place is the
     rows of the shard's earlier slots plus the rank in the own slot, so no task sorts a whole shard.
     A null text has a null checksum. An empty table gives no rows; extra columns are left out.
     """
@@ -110,7 +121,11 @@ def shard(docs: DataFrame, *, shards: int = 24, id_col: str = "doc_id", text_col
     sums = {r.virtual_slot: (r.b, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
     size, count = ([sums.get(i, (0, 0))[k] for i in range(slots)] for k in (0, 1))
     start = first_map(size, count, shards) if old is None else SlotMap(old.version, old.shards, old.shard, tuple(size), tuple(count))
-    best = rebalanced(start)
+    versions = stash(start.table(docs.sparkSession), f"{name}-map")
+    versions = stash(versions.union(rebalanced(SlotMap.read(versions)).table(docs.sparkSession)), f"{name}-map")
+    if stored is not None:
+        stored.append(versions)
+    best = SlotMap.read(versions)
     before, seen = [0] * slots, [0] * best.shards
     for i in range(slots):
         before[i] = seen[best.shard[i]]
