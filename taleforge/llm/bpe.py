@@ -12,10 +12,11 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import struct
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -28,6 +29,8 @@ from taleforge.llm.common import rebatched
 CACHE = 200_000
 #: Longer runs without a space are transduced piece by piece and not kept.
 LONG = 512
+#: Letters of a text that are encoded at once.
+CHUNK = 1 << 16
 #: Fixed value: white space of Unicode.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the pieces of the lower-casing word vocabulary; the second alternatives spell out its white space.
@@ -151,6 +154,9 @@ class PieceDecoder:
     def __init__(self, tokens: dict[int, str]) -> None:
         self.tokens, self.begun = tokens, False
 
+    def reset(self) -> None:
+        self.begun = False
+
     def feed(self, token_id: int) -> str:
         out = (" " if self.begun else "") + self.tokens[token_id]
         self.begun = True
@@ -168,6 +174,9 @@ class ByteDecoder:
         self.tokens, self.special, self.ending = tokens, special, ending
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
+    def reset(self) -> None:
+        self.state.reset()
+
     def feed(self, token_id: int) -> str:
         token = self.tokens[token_id]
         if token_id in self.special:
@@ -250,6 +259,33 @@ class WordBpe:
             self.runs[run] = made
         return made
 
+    def stream(self, chunks: Iterable[str]) -> Iterator[tuple[bytes, str]]:
+        """Ids and decoded text of a text that comes in chunks, as they become certain.
+
+        Only the run that a chunk cuts is held back (white space ends it): its normal form and special tokens need all of it.
+        """
+        rest: list[str] = []
+        begun = False
+        for chunk in itertools.chain(chunks, [" "]):
+            at = max(chunk.rfind(" "), chunk.rfind("\n"))
+            if at < 0:
+                rest.append(chunk)
+                continue
+            ids, text = self.encode("".join([*rest, chunk[:at]]))
+            rest = [chunk[at + 1 :]]
+            if ids:
+                yield ids, " " + text if begun else text
+                begun = True
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 sums of the ids and of the decoded text, which are never held whole."""
+        sums, n = (hashlib.sha256(), hashlib.sha256()), 0
+        for ids, decoded in self.stream(text[at : at + CHUNK] for at in range(0, len(text), CHUNK)):
+            n += len(ids) // 4
+            sums[0].update(ids)
+            sums[1].update(decoded.encode())
+        return n, sums[0].hexdigest(), sums[1].hexdigest()
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
         known, new = self.runs, self._run
@@ -279,14 +315,18 @@ def encode_table(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work: Callable = word_bpe(spec.value).encode
+        work = word_bpe(spec.value)
         for batch in rebatched(batches, text_col):
             count, ids, decoded = [], [], []
             for text in batch.column(text_col):
-                a, b = work(text.as_py() or "")
-                count.append(len(a) // 4)
-                ids.append(hashlib.sha256(a).hexdigest() if digest else a)
-                decoded.append(hashlib.sha256(b.encode()).hexdigest() if digest else b)
+                if digest:
+                    n, a, b = work.digest(text.as_py() or "")
+                else:
+                    a, b = work.encode(text.as_py() or "")
+                    n = len(a) // 4
+                count.append(n)
+                ids.append(a)
+                decoded.append(b)
             last = [pa.array(ids, pa.string()), pa.array(decoded, pa.string())] if digest else [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(count, pa.int64()), *last], names=["__id", "n_tokens", "x", "y"])
 
@@ -295,3 +335,35 @@ def encode_table(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"__id {id_type}, n_tokens bigint, x {kind}, y string")
     return out.toDF(id_col, "n_tokens", *names)
+
+
+def decoder_of(spec: str) -> PieceDecoder | ByteDecoder:
+    """The state machine that a tokenizer file asks for: bytes to text where it decodes byte letters, else pieces and spaces."""
+    model = json.loads(spec)
+    special = {t["id"]: t["content"] for t in model["added_tokens"]}
+    tokens = {i: t for t, i in model["model"]["vocab"].items()} | special
+    kind = model.get("decoder")
+    if kind is None:
+        return PieceDecoder(tokens)
+    if kind["type"] != "ByteLevel":
+        raise ValueError(f"no state machine for the decoder {kind['type']!r}")
+    return ByteDecoder(tokens, frozenset(special))
+
+
+def decode_table(rows: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id_col, decoded) of every row of little-endian unsigned 32-bit ids, token by token. Null and empty ids decode to ''; unknown ids raise."""
+    with open(vocabulary, encoding="utf-8") as file:
+        spec = rows.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = decoder_of(spec.value)
+        for batch in batches:
+            out = []
+            for ids in batch.column("__ids"):
+                data = ids.as_py() or b""
+                work.reset()
+                out.append("".join([*(work.feed(i) for (i,) in struct.iter_unpack("<I", data)), work.close()]))
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(out, pa.string())], names=["__id", "decoded"])
+
+    id_type = rows.schema[id_col].dataType.simpleString()
+    return rows.select(F.col(id_col).alias("__id"), F.col(ids_col).alias("__ids")).mapInArrow(run, f"__id {id_type}, decoded string").toDF(id_col, "decoded")
