@@ -1,27 +1,31 @@
 """The corpus operators on small tables: brute force, and odd rows of every kind."""
 
+import hashlib
 import math
 import re
+import tracemalloc
+import wave
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from taleforge.llm import audio_fingerprint as audio
 from taleforge.llm import additive_quantisation as aq
-from taleforge.llm import bloom_lm, graph, language_id, license_scan
+from taleforge.llm import bloom_lm, common, graph, language_id, license_scan
 from taleforge.llm import ngram_jaccard as jaccard
 from taleforge.llm import quality_cotraining as quality
 from taleforge.llm.additive_quantisation import nearest
-from taleforge.llm.bpe import encode_table
+from taleforge.llm.bpe import decode_table, encode_table, word_bpe
 from taleforge.llm.ngram_jaccard import ngram_jaccard
 from taleforge.llm.packing import pack
 from taleforge.llm.queries import op4_ngram_jaccard, op8_chroma_fingerprint
-from taleforge.llm.sharding import shard
+from taleforge.llm.sharding import SlotMap, shard
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, cid bigint"
 #: Nulls, empty and blank texts, ties, repeated rows and ids, a very long text, and columns named as the operators' own.
@@ -145,7 +149,10 @@ def test_shards_are_gapless_and_even(odd, empty, spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.text_crc32 == (zlib.crc32(t.encode()) if (t := dict((x[0], x[1]) for x in ODD)[r.doc_id]) is not None else None) for r in got)
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
-    assert made.table(spark).count() == 4096
+    assert made.table(spark).count() == 4096 and SlotMap.read(made.table(spark)) == made
+    kept = []
+    _, edited = shard(odd, shards=3, old=made, stored=kept)
+    assert (edited.version, edited.shard) == (made.version + 1, made.shard) and {r.version for r in kept[0].collect()} == {1, 2}
     assert shard(empty)[0].collect() == []
 
 
@@ -275,6 +282,29 @@ def test_language_model_scores(spark, odd, empty):
     assert {(r.train_tokens, r.n_known) for r in alone} == {(0, 0)} and all(r.base_score == 0 for r in alone)
 
 
+def test_scores_against_exact_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    made = [bloom_lm.stream(*common.text_bytes(pa.array([r.text], pa.string()))) for r in rows]
+    held = [r.doc_id % 7 == 2 for r in rows]
+    tokens, before = (np.concatenate([m[k] for m, h in zip(made, held, strict=True) if not h]) for k in (0, 1))
+    known = Counter(bloom_lm.word_gram(tokens).tolist()) + Counter(bloom_lm.pair_gram(before, tokens).tolist())
+    known[int(bloom_lm.word_gram(np.array([bloom_lm.BEGIN]))[0])] = held.count(False)
+
+    class Exact:
+        def levels(self, grams):
+            return bloom_lm.level(np.array([known[g] for g in grams.tolist()], np.int64))
+
+    model = bloom_lm.Model(Exact(), len(tokens), len(set(tokens.tolist())), np.zeros(len(bloom_lm.LEVELS) + 1))
+    both, word, context = model.read(tokens, before)
+    share, alone = model.parts(both, word, context, own=1)
+    total = np.stack([np.bincount(context, np.log(w * share + (1 - w) * alone), len(model.weights)) for w in bloom_lm.WEIGHTS], 1)
+    model = bloom_lm.Model(Exact(), model.tokens, model.distinct, bloom_lm.WEIGHTS[total.argmax(1)])
+    got = {r.doc_id: r.score for r in bloom_lm.score(docs, train=F.col("doc_id") % 7 != 2).collect()}
+    for r, m in zip(rows, made, strict=True):
+        assert got[r.doc_id] == pytest.approx(float(model.logs(m[0], m[1])[0].sum()), rel=1e-3)
+
+
 def test_rare_words_come_by_the_shuffle(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {r.doc_id: r for r in bloom_lm.score(docs, train=F.col("doc_id") % 7 != 2).collect()}
@@ -311,6 +341,33 @@ def test_encoding_on_odd_rows(odd, empty):
         ids = other.encode(r[1] or "", add_special_tokens=False).ids
         want[(r[0], len(ids), np.array(ids, "<u4").tobytes(), other.decode(ids, skip_special_tokens=False))] += 1
     assert got == want and encode_table(empty, path).collect() == []
+    sums = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_table(odd, path, digest=True).collect())
+    assert sums == Counter({(i, n, hashlib.sha256(a).hexdigest(), hashlib.sha256(b.encode()).hexdigest()): k for (i, n, a, b), k in want.items()})
+
+
+def test_encoding_holds_no_whole_text():
+    work = word_bpe(Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8"))
+    text = "It's a LONG story\nof 42 knights, <|endoftext|> naïve ones. " * 300
+    for size in (1, 7, 1000):
+        parts = list(work.stream(text[a : a + size] for a in range(0, len(text), size)))
+        assert (b"".join(p[0] for p in parts), "".join(p[1] for p in parts)) == work.encode(text)
+    tracemalloc.start()
+    n = sum(len(ids) for ids, _ in work.stream(text[:10_000] for _ in range(2000)))  # 20 MB of text
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 10_000_000 and most < 4_000_000
+
+
+def test_decoding_by_state_machines(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["naïve café — 漢字 😀", "", "a<|endoftext|>b", " \n\t x"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        other = Tokenizer.from_file(path)
+        rows = [(k, other.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)] + [(9, other.encode("😀", add_special_tokens=False).ids[:1])]
+        got = {r.doc_id: r.decoded for r in decode_table(spark.createDataFrame([(i, bytearray(np.array(x, "<u4").tobytes())) for i, x in rows] + [(10, None)], "doc_id bigint, ids binary"), path).collect()}
+        assert got == {i: other.decode(x, skip_special_tokens=False) for i, x in rows} | {10: ""}
 
 
 def test_recordings_are_found_again(spark):
@@ -325,6 +382,31 @@ def test_recordings_are_found_again(spark):
     assert audio.alignments(asked.limit(0), prints).collect() == []
 
 
+def test_alignments_against_all_pairs_and_offsets():
+    rng = np.random.default_rng(12)
+    base = [audio.fingerprint(audio.decode(audio.melody([float(x) for x in rng.standard_normal(64)]))) for _ in range(6)]
+    asked = [base[0][5:40], base[3][20:], base[5].copy(), rng.integers(0, 2**32, 50, dtype=np.uint32)]
+    asked[2][::7] ^= np.uint32(0x00010001)
+    want = []
+    for q, a in enumerate(asked):
+        for r, b in enumerate(base):
+            tried = [(*audio.bit_error(a, b, o), o) for o in range(1 - len(a), len(b))]
+            good = [(error, -n, o) for error, n, o in tried if n >= audio.OVERLAP and error <= audio.ERRORS]
+            want += [(q, r, min(good)[2])] if good else []
+    assert [x[:3] for x in audio.align(asked, base)] == want and {(q, r) for q, r, _ in want} >= {(0, 0), (1, 3), (2, 5)}
+
+
+def test_wav_files_of_24_bits(tmp_path):
+    x = np.sin(np.arange(6000) / 9) * 0.5
+    raw = (x * 8388607).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    with wave.open(str(tmp_path / "x.wav"), "wb") as file:
+        file.setnchannels(1)
+        file.setsampwidth(3)
+        file.setframerate(audio.RATE)
+        file.writeframes(raw)
+    assert np.allclose(audio.decode((tmp_path / "x.wav").read_bytes()), x, atol=1e-6)
+
+
 def test_every_alignment_is_returned(spark, tmp_path):
     rng = np.random.default_rng(11)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((102, 64)))]
@@ -347,6 +429,11 @@ def test_languages_of_odd_rows_and_held_out_accuracy(spark, odd, empty):
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in out if not re.search(r"[^\W\d_]", r.text or ""))
     assert all(r.lang_pred in model.languages for r in out if re.search(r"[^\W\d_]", r.text or ""))
     assert language_id.identify(empty, model).collect() == []
+    numerals = spark.createDataFrame([(1, "½² ①  Ⅷ 12"), (2, "ª½")], "doc_id bigint, text string")
+    assert [r.lang_pred == "und" for r in language_id.identify(numerals, model).orderBy("doc_id").collect()] == [True, False]
+    unspaced = spark.createDataFrame([("ab" * 80, "x"), ("cd" * 80, "y")], "text string, lang string").withColumn("doc_id", F.lit(1))
+    learned = language_id.fit(unspaced, path, keep=F.lit(True))
+    assert [r.lang_pred for r in language_id.identify(unspaced, learned).orderBy("text").collect()] == ["x", "y"]
     nothing = language_id.fit(empty, path, keep=F.lit(True))
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
