@@ -253,18 +253,41 @@ def test_quality_on_odd_rows_and_held_out_labels(spark, odd, empty):
     assert out.columns[: len(odd.columns)] == odd.columns
 
 
+def windows(text):
+    """(dice, name) of every stretch as long as a template that begins where one of its bigrams says."""
+    words, out = license_scan.normalised(text), []
+    pairs = list(zip(words, words[1:], strict=False))
+    for name, template in license_scan.TEMPLATES.items():
+        own = license_scan.normalised(template)
+        known = list(zip(own, own[1:], strict=False))
+        for s in {i - j for i, a in enumerate(pairs) for j, b in enumerate(known) if a == b} if set(pairs) & set(known) else ():
+            got = Counter(pairs[max(s, 0) : s + len(known)])
+            dice = 2 * sum((got & Counter(known)).values()) / (sum(got.values()) + len(known))
+            if dice >= license_scan.THRESHOLD:
+                out.append((dice, name))
+    return out
+
+
 def test_licences_on_odd_rows_and_against_plain_python(spark, odd, empty):
     texts = ["Released under the MIT License.", "prose before\nreleased UNDER the mit licence!\nand after", "x\n\n" + license_scan.TEMPLATES["ISC"].replace("software", "program") + "\n\ny", "ﬀ Licensed under CC BY-NC 4.0. x", None, "", "under the the the the"]
     texts += [license_scan.TEMPLATES[k] for k in license_scan.TEMPLATES]
+    split = lambda k: re.sub(r"\. (?=[A-Z0-9])", ".\n\n", license_scan.TEMPLATES[k])
+    prose = " ".join(f"word{i} of the" for i in range(200))
+    embedded = {len(texts) + n: k for n, k in enumerate(["MIT", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0-header", "GPL-3.0-header"])}
+    texts += [f"{prose}\n\n{split(k)}\n\n{prose}" for k in embedded.values()]
+    embedded |= {len(texts): "MIT-notice", len(texts) + 1: "MIT"}
+    texts += ["Copyright (c) 2020 Foo. Released under the MIT License.", f"{prose} {license_scan.TEMPLATES['MIT'].replace('Software', 'program', 3)} {prose}"]
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     for i, t in enumerate(texts):
         parts = set((t or "").split("\n")) | set(re.split(r"\n[ \t\r]*\n", t or "")) | {t or ""}
         hits = [(license_scan.dice(license_scan.normalised(p), license_scan.normalised(v)), k, p) for p in parts for k, v in license_scan.TEMPLATES.items()]
         hits = [h for h in hits if h[0] >= license_scan.THRESHOLD]
-        best = max(hits, default=(None, None, None))
+        inside = windows(t or "")
+        best = max([h[:2] for h in hits] + inside, default=(None, None))
         assert (got[i].license_id, got[i].n_passages) == (best[1], len({h[2] for h in hits}))
-        assert got[i].dice == (pytest.approx(best[0]) if hits else None)
-        assert got[i].licenses == sorted({h[1] for h in hits})
+        assert got[i].dice == (pytest.approx(best[0]) if hits or inside else None)
+        assert got[i].licenses == sorted({h[1] for h in [*hits, *inside]})
+    assert all(k in got[i].licenses for i, k in embedded.items())
     assert license_scan.license_scan(odd).count() == len(ODD) and license_scan.license_scan(empty).count() == 0
 
 
