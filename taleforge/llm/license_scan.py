@@ -8,7 +8,7 @@ the word count alone, before any bigram is made.
 
 A licence within a longer passage is found by windows: stretches of the whole text's bigrams as long as the
 template, laid wherever one of its bigrams meets the template's own. A window can only reach t if the text holds
-nearly t / (2 - t) of the template's distinct bigrams: other templates are pruned before any window is laid.
+nearly t / (2 - t) of the template's distinct bigrams, and so can a passage of it: other templates are pruned first.
 """
 
 from __future__ import annotations
@@ -68,25 +68,25 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # translate: lower() would also fold other scripts' letters into a-z
     lowered = F.translate(text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     flat = docs.select(F.col(id_col).alias("__id"), F.coalesce(lowered, F.lit("")).alias("__t")).withColumn("__known", known)
-    passages = "array_except(concat(split(__t, '\\n'), split(__t, '\\n[ \\t\\r]*\\n')), array(__t))"
+    # templates that the whole text holds enough bigrams of; for most texts there is none, and no passage is made
     flat = flat.withColumn("__all", F.expr("split(trim(regexp_replace(__t, '[^a-z0-9]+', ' ')), ' ')"))
-    words = f"concat(transform({passages}, p -> split(trim(regexp_replace(p, '[^a-z0-9]+', ' ')), ' ')), array(__all))"
-    fitting = f"filter({words}, w -> size(w) - 1 between {least!r} and {most!r})"
     paired = "zip_with(slice({w}, 1, size({w}) - 1), slice({w}, 2, size({w}) - 1), (a, b) -> concat(a, ' ', b))"
-    flat = flat.withColumn("__w", F.expr(fitting)).withColumn("__a", F.expr(paired.format(w="__all"))).drop("__t", "__all")
+    flat = flat.withColumn("__a", F.expr(paired.format(w="__all"))).withColumn("__met", F.array_intersect("__a", every))
+    flat = flat.withColumn("__k", F.expr("filter(__known, k -> size(__met) >= k.need and size(array_intersect(__met, k.p)) >= k.need)")).drop("__met", "__known")
+    passages = "array_except(concat(split(__t, '\\n'), split(__t, '\\n[ \\t\\r]*\\n')), array(__t))"
+    words = f"concat(transform({passages}, p -> split(trim(regexp_replace(p, '[^a-z0-9]+', ' ')), ' ')), array(__all))"
+    fitting = f"if(size(__k) = 0, cast(array() as array<array<string>>), filter({words}, w -> size(w) - 1 between {least!r} and {most!r}))"
+    flat = flat.withColumn("__w", F.expr(fitting)).drop("__t", "__all")
     flat = flat.withColumn("__g", F.expr(f"transform(__w, w -> {paired.format(w='w')})")).drop("__w")
-    # templates that the whole text holds enough bigrams of, and the stretches that lie where these meet
-    flat = flat.withColumn("__met", F.array_intersect("__a", every))
-    flat = flat.withColumn("__k", F.expr("filter(__known, k -> size(__met) >= k.need and size(array_intersect(__met, k.p)) >= k.need)")).drop("__met")
     starts = "array_distinct(flatten(transform(__a, (b, i) -> if(array_contains(k.p, b), transform(filter(transform(k.s, (x, j) -> struct(x as x, j as j)), y -> y.x = b), y -> i - y.j), cast(array() as array<int>)))))"
     laid = f"transform(__k, k -> struct(k as k, transform({starts}, s -> slice(__a, greatest(s, 0) + 1, k.n + least(s, 0))) as g))"
     marked = "transform(g, (b, i) -> concat(b, '#', cast(size(filter(slice(g, 1, i), y -> y = b)) as string)))"
     enough = f"2 * size(filter(g, b -> array_contains(x.k.p, b))) >= {threshold - 1e-9!r} * (size(g) + x.k.n)"
     judged = f"transform(filter(x.g, g -> {enough}), g -> struct(2d * size(array_intersect({marked}, x.k.b)) / (size(g) + x.k.n) as dice, x.k.name as name, -1 as at))"
-    flat = flat.withColumn("__v", F.expr(f"if(size(__k) = 0, null, filter(flatten(transform({laid}, x -> {judged})), h -> h.dice >= {threshold!r}))")).drop("__a", "__k")
+    flat = flat.withColumn("__v", F.expr(f"if(size(__k) = 0, null, filter(flatten(transform({laid}, x -> {judged})), h -> h.dice >= {threshold!r}))")).drop("__a")
     fits = f"size(g) between {low!r} * k.n and {high!r} * k.n and arrays_overlap(g, k.p)"
-    some = f"filter(transform(__g, g -> struct(g as g, filter(__known, k -> {fits}) as c)), x -> size(x.c) > 0)"
-    flat = flat.withColumn("__c", F.expr(some)).drop("__g", "__known")
+    some = f"filter(transform(__g, g -> struct(g as g, filter(__k, k -> {fits}) as c)), x -> size(x.c) > 0)"
+    flat = flat.withColumn("__c", F.expr(some)).drop("__g", "__k")
     tagged = "transform(x.g, (b, i) -> concat(b, '#', cast(size(filter(slice(x.g, 1, i), y -> y = b)) as string)))"
     hits = f"flatten(transform(__c, (x, at) -> transform(x.c, k -> struct(2d * size(array_intersect({tagged}, k.b)) / (size(x.g) + k.n) as dice, k.name as name, at as at))))"
     flat = flat.withColumn("__h", F.expr(f"filter({hits}, h -> h.dice >= {threshold!r})"))
