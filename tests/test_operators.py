@@ -65,7 +65,7 @@ def test_fuzzy_candidates_lose_no_pair(spark):
 def test_every_profile_has_its_place(spark):
     d = "/root/testdata/sf0.001"
     p = sorted((r.p_partkey % 5 == 0, r.p_name.lower(), r.p_partkey) for r in spark.read.parquet(f"{d}/part.parquet").collect())
-    assert len(p) > 50 and rows(registry.QUERIES["whole_registry"](spark, d)) == sorted(((x[2], k) for k, x in enumerate(p, 1)), key=repr)
+    assert len(p) > 50 and rows(registry.QUERIES["sorted_registry"](spark, d)) == sorted(((x[2], k) for k, x in enumerate(p, 1)), key=repr)
 
 
 def test_closure_of_pairs(spark):
@@ -225,3 +225,34 @@ def test_query_runs_on_the_smallest_tables(spark, name):
     if name in ("alias_overlap", "merge_components"):
         pytest.skip("covered by a fixture")
     registry.QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).collect()
+
+
+def test_breaks_by_class_close_a_quotation(spark):
+    blocks = [(1, 0, "p", "“He began", []), (1, 1, "p", "and went on", []), (1, 2, "p", "x", ["fancy", "divider"]), (1, 3, "p", "The rain fell.", []), (1, 4, "p", "“Again", []), (1, 5, "hr", "", []), (1, 6, "p", "Night.", [])]
+    got = segments.classify_blocks(spark.createDataFrame(blocks, "chapter int, pos int, tag string, text string, classes array<string>")).orderBy("pos").collect()
+    assert [r.type for r in got] == ["dialogue", "dialogue", "scene_break", "narration", "dialogue", "scene_break", "narration"]
+
+
+def test_dots_within_sentences(spark):
+    said = "Mr. Darcy paid 3.50 to J. Smith. “Why?” he asked... Then\nDr. No left!"
+    assert spark.range(1).select(segments.sentences(F.lit(said)).alias("s")).head().s == ["Mr. Darcy paid 3.50 to J. Smith.", "“Why?", "” he asked...", "Then\nDr. No left!"]
+
+
+def test_closure_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(entities, "EDGES", 9)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (5, 5)]
+    got = {tuple(r) for r in entities.merge_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(90, 90), (95, 90), (100, 90)}
+    with pytest.raises(RuntimeError):
+        entities.merge_components(spark.createDataFrame(edges, "a bigint, b bigint"), most_rounds=1)
+
+
+def test_many_asks_meet_offers_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    offers = spark.createDataFrame(rows, "speaker bigint, vector array<double>")
+    asks = offers.where("speaker % 3 = 0").selectExpr("concat('c', speaker) as name", "vector", "speaker as own")
+    few = {tuple(r) for r in matching.best_matches(asks, offers, k=5).select("name", "rank", "speaker").collect()}
+    monkeypatch.setattr(matching, "ASKS", 4)
+    assert {tuple(r) for r in matching.best_matches(asks, offers, k=5).select("name", "rank", "speaker").collect()} == few and len(few) == 100
+    assert not any(name == f"c{s}" for name, _, s in few)
