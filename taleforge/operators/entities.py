@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -25,18 +25,22 @@ ORDERED, SPREAD = 1000, 16
 EDGES = 1_000_000
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage for good."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a local session without one gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="taleforge-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/taleforge/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/taleforge/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts the lineage for good."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ambiguous_names(profiles: DataFrame, *, threshold: float = 0.4) -> DataFrame:

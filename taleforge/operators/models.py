@@ -58,6 +58,22 @@ def called(rows: DataFrame, *, key: str, prompt: str, stage: str, required: tupl
     return asked.join(answers, "cache_key", "left").select(key, "cache_key", "response", "calls")
 
 
+def chosen(rows: DataFrame, *, key: str, prompt: str, ids: str, client: Callable[[str, int], str | None], attempts: int = ATTEMPTS) -> DataFrame:
+    """(key, choice, calls): a model's answer if it is one of the row's valid ids (an array), asked again up to attempts times; else null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for said, valid in zip(frame["_p"], frame["_ids"], strict=True):
+                answers = ((client(said, n), n) for n in range(1, attempts + 1))
+                out.append(next(((a, n) for a, n in answers if a is not None and a in valid), (None, attempts)))
+            yield pd.DataFrame({"_k": frame["_k"], "choice": [c for c, _ in out], "calls": [n for _, n in out]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    asked = rows.select(F.col(key).alias("_k"), F.col(prompt).alias("_p"), F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
+    return asked.mapInPandas(run, f"_k {kind}, choice string, calls int").withColumnRenamed("_k", key)
+
+
 def model_for(memory_gb: float, override: str | None = None) -> str:
     """The larger local model from 16 GB on."""
     return override or ("large" if memory_gb >= 16 else "small")

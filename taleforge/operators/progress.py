@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -49,6 +51,14 @@ def retried(attempts: DataFrame, *, most: int = 3, key: str = "id") -> DataFrame
     return some.groupBy(key).agg(F.count("*").alias("attempts"), F.min(F.when(F.col("ok"), F.col("attempt"))).alias("succeeded_at")).withColumn("status", F.when(F.col("succeeded_at").isNull(), "failed").otherwise("completed"))
 
 
+def made_once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's rows from its path if they were written there as a whole, else made, written and read back."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def compatible(state: DataFrame, engine: str) -> DataFrame:
     """Whether a state was made by the engine in force; otherwise it is archived."""
     return state.withColumn("action", F.when(F.col("engine") == engine, "resume").otherwise("archive"))

@@ -9,6 +9,7 @@ from taleforge.functions import vectors as v
 from taleforge.operators import progress as ops
 from taleforge.plans.dressing import RUNS, SEG, runs, seg, table
 from taleforge.plans.registry import query
+from taleforge.sources.readers import piped_metadata
 
 
 @query("pending_anti", f"with {RUNS} select id from runs where status <> 'completed' or id % 5 = 0")
@@ -119,7 +120,10 @@ def fence_strip(spark, d):
 def split_lookup(spark, d):
     """Needed speakers without those at hand, with their split if it is known; the last line of a key counts."""
     x = table(spark, d, "lineitem")
-    known = x.groupBy(F.col("l_suppkey").cast("string").alias("speaker")).agg(F.max_by("l_returnflag", F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("split"))
+    k, at = F.col("l_suppkey").cast("string"), F.col("l_orderkey") * 1000000 + F.col("l_partkey")
+    lines = x.select(F.concat_ws(" | ", k, F.lit("x"), "l_returnflag").alias("value"), at.alias("pos"))
+    lines = lines.union(x.select(F.concat(F.lit("; "), k, F.lit(" | x | none")), at + 10**15)).union(x.select(F.concat(k, F.lit(" | none")), at + 10**15))
+    known = piped_metadata(lines).toDF("speaker", "split")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
     need = s.select(F.col("k").cast("string").alias("speaker")).union(s.where("k % 9 = 0").select(F.concat(F.lit("x"), F.col("k").cast("string"))))
     at_hand = s.where("k % 4 = 0").select(F.col("k").cast("string").alias("speaker"))

@@ -28,4 +28,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register the library's own queries."""
-    from taleforge.plans import entity_queries, progress_queries, segment_queries  # noqa: F401
+    from taleforge.plans import entity_queries, progress_queries, segment_queries, source_queries  # noqa: F401

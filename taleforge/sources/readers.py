@@ -143,8 +143,8 @@ def epub_rows(data: bytes) -> list[dict]:
 EPUB = "book_id string, spine_pos int, href string, html string, title string, author string, guide boolean, cover string, cover_mime string"
 
 
-def read_epubs(spark: SparkSession, path: str) -> DataFrame:
-    """One row a linear spine document of every book under a path."""
+def epub_documents(files: DataFrame) -> DataFrame:
+    """One row a linear spine document of every book in files (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.strip().split(" ")[0] for f in EPUB.split(",")]
@@ -152,10 +152,14 @@ def read_epubs(spark: SparkSession, path: str) -> DataFrame:
             rows = [{"book_id": posixpath.splitext(posixpath.basename(p))[0]} | r for p, c in zip(frame["path"], frame["content"], strict=True) for r in epub_rows(c)]
             yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, EPUB)
 
 
+def read_epubs(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of all books below a path."""
+    return epub_documents(spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path))
+
+
 def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(speaker, annotator, traits) of annotators' files 'speaker|trait,trait'; rows of other than two fields are skipped. A missing file raises."""
     out = None
@@ -177,6 +181,30 @@ def piped_metadata(lines: DataFrame, *, text: str = "value", order: str = "pos")
     return rows.groupBy(F.col("_p")[0].alias("key")).agg(F.max_by(F.col("_p")[2], order).alias("value"))
 
 
+def env_values(lines: DataFrame, known: DataFrame, *, text: str = "value", order: str = "pos") -> DataFrame:
+    """S10: 'key=value' lines to (key, value); comments and known keys are skipped, the first line of a key counts."""
+    at = F.instr("_l", "=")
+    rows = lines.withColumn("_l", F.trim(text)).where(~F.col("_l").startswith("#") & (at > 0))
+    rows = rows.select(F.trim(F.substring("_l", F.lit(1), at - 1)).alias("key"), F.trim(F.substring("_l", at + 1, F.length("_l"))).alias("value"), order).where("key <> ''")
+    return rows.join(known.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min_by("value", order).alias("value"))
+
+
+def scanned_rows(rows: DataFrame, wanted: DataFrame, *, key: str, order: str, more: int = 100) -> DataFrame:
+    """The wanted rows with content that a scan in order sees, which ends after the last wanted key was first found and more rows were read.
+
+    rows has a boolean has_content; wanted rows without content are passed over uncounted. Without some wanted key
+    the scan reads everything. Only the end's neighbourhood is ordered: more + 1 rows.
+    """
+    keys = wanted.select(key).distinct().withColumn("_wanted", F.lit(True))
+    seen = rows.join(keys, key, "left")
+    good = seen.where("_wanted and has_content")
+    found = keys.join(good.groupBy(key).agg(F.min(order).alias("_first")), key, "left")
+    complete = found.agg(F.when(F.count("*") == F.count("_first"), F.max("_first")).alias("_complete"))
+    rest = seen.where(F.col("_wanted").isNull() | F.col("has_content")).join(F.broadcast(complete), F.col(order) >= F.col("_complete")).select(order).orderBy(order).limit(more + 1)
+    end = rest.agg(F.when(F.count("*") > more, F.max(order)).alias("_end"))
+    return good.join(F.broadcast(end), F.lit(True)).where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_wanted", "_end")
+
+
 def read_directory(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """(path, length) of the files below a path; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -220,9 +248,9 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(o["name"], o["speaker_id"], o["voice_profile"]) for o in parse_overrides(source)], "name string, speaker_id string, voice_profile map<string,string>")
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stage's JSON document (an array of rows) with a fixed schema."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_documents(spark: SparkSession, path: str, schema: str, *, lines: bool = False) -> DataFrame:
+    """A stage's JSON document (an array of rows, or with lines the rows that write_documents wrote) with a fixed schema."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def write_documents(rows: DataFrame, path: str, *, by: list[str] | None = None) -> None:
