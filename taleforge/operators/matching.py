@@ -166,12 +166,16 @@ def _solved(book, cast, offers, met) -> list[tuple]:
     return [(book, v[0], k, *v[1:]) for k, v in now.items()]
 
 
+def _first(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """The first row of each group in an order; partial results are merged, no group is sorted."""
+    return rows.groupBy(by).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r")).select("_r.*")
+
+
 def best_clip(clips: DataFrame, *, order: list[str], low: float = LEAST_S, high: float = MOST_S) -> DataFrame:
     """Each speaker's clip nearest the target length; without one in range the first of all."""
     good = F.col("duration").between(low, high)
     score = F.when(good, 1.0 / (1.0 + F.abs(F.col("duration") - TARGET_S))).otherwise(0.0)
-    w = W.partitionBy("speaker").orderBy(F.desc("in_range"), F.desc("score"), *order)
-    return clips.withColumns({"in_range": good, "score": score}).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return _first(clips.withColumns({"in_range": good, "score": score}), "speaker", [~F.coalesce("in_range", F.lit(False)), -F.col("score"), *map(F.col, order)])
 
 
 def target_rate(pace_style: Column, pace: Column) -> Column:
@@ -181,14 +185,18 @@ def target_rate(pace_style: Column, pace: Column) -> Column:
 
 
 def reference_clips(clips: DataFrame, *, size: str = "bytes", expressiveness: str = "expr", path: str = "path") -> DataFrame:
-    """Each speaker's clip by expressiveness and length among those in range, else its largest."""
+    """Each speaker's clip by expressiveness and length among those in range, else its largest.
+
+    Scores that are equal to nine digits are ties, which go to the smaller path.
+    """
     d = F.col(size) / F.lit(float(BYTES_PER_S))
     rows = clips.withColumn("duration", d)
     good = (F.col(size) >= LEAST_BYTES) & F.col("duration").between(LEAST_S, MOST_S)
     score = 0.8 * F.col(expressiveness) + 0.2 / (1.0 + F.abs(F.col("duration") - TARGET_S))
     rows = rows.withColumns({"in_range": good, "score": F.when(good, score)})
-    w = W.partitionBy("speaker").orderBy(F.desc("in_range"), F.desc(F.when(F.col("in_range"), F.col("score")).otherwise(F.col(size).cast("double"))), path)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("speaker", path, "duration", "in_range", "score")
+    rank = F.when(F.col("in_range"), F.round("score", 9)).otherwise(F.coalesce(F.col(size).cast("double"), F.lit(-1.0)))
+    out = _first(rows, "speaker", [~F.coalesce("in_range", F.lit(False)), -rank, F.col(path)])
+    return out.select("speaker", path, "duration", "in_range", "score")
 
 
 def voice_check(checks: DataFrame, *, threshold: float = 0.6, by: list[str] | None = None) -> DataFrame:
