@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from taleforge.functions import speech
+from taleforge.functions.splitting import LIMIT, long_sentence_udf
 from taleforge.functions.text import keyword_hits, strip, token_estimate
 
 #: Headings of back matter that is left out, of endings that stay, and of a story's first chapter.
@@ -77,6 +78,27 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: strip(F.translate(p, "\x01", "."))), lambda s: s != "")
 
 
+def segment_rows(blocks: DataFrame, *, key: str = "chapter", order: str = "pos") -> DataFrame:
+    """T4: a chapter's blocks (tag, text, classes) as typed rows (key, order, part, sub, type, text), in that order.
+
+    Dialogue is cut at its quotes, every part into sentences, and long sentences further; a part without any, as of a
+    rule, stays as one row of its stripped text.
+    """
+    typed = classify_blocks(blocks, key=key, order=order)
+    whole = F.array(F.struct(F.col("type").alias("type"), F.col("text").alias("text")))
+    parts = F.when(F.col("type") == "dialogue", speech.quote_parts(F.col("text"))).otherwise(whole)
+    rows = typed.select(key, order, F.posexplode(parts).alias("part", "_p")).select(key, order, "part", "_p.type", F.col("_p.text").alias("_t"))
+    said = sentences(F.col("_t"))
+    rows = rows.withColumn("_s", F.when(F.size(said) > 0, said).otherwise(F.array(strip("_t")))).select(key, order, "part", "type", F.posexplode("_s").alias("_n", "_s"))
+    # only long sentences leave the JVM
+    long = F.length("_s") > LIMIT
+    short = rows.where(~long).withColumn("_c", F.array("_s"))
+    cut = rows.where(long).withColumn("_c", long_sentence_udf()("_s"))
+    out = short.unionByName(cut).select(key, order, "part", "_n", "type", F.posexplode("_c").alias("_k", "text"))
+    sub = F.row_number().over(W.partitionBy(key, order, "part").orderBy("_n", "_k")) - 1
+    return out.withColumn("sub", sub).select(key, order, "part", "sub", "type", "text")
+
+
 def packed(parts: Column, most: int, least: int = 0, joint: str = " ") -> Column:
     """Parts joined in order into chunks of at most ``most`` characters; a longer part stands alone, and a
     last chunk under ``least`` is added to the one before."""

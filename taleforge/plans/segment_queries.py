@@ -319,6 +319,14 @@ def seg_pieces(spark, d):
     return p.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("p")).alias("longest"), F.sum(F.length("p")).alias("chars"))
 
 
+@query("seg_rows")
+def seg_rows(spark, d):
+    """The numbered rows of all chapters; tested against a plain loop over blocks."""
+    rows = ops.segment_rows(lines(spark, d)).withColumn("book", F.col("chapter") % 16)
+    rows = ops.sequential_ids(rows, book="book", chapter="chapter", order=["pos", "part", "sub"])
+    return rows.groupBy("book", "chapter", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"), F.min("seq").alias("first"))
+
+
 @query("chapter_chunks")
 def chapter_chunks(spark, d):
     """Whole documents cut to chunks of 4,000 characters."""
