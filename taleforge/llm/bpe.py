@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taleforge.llm.common import rebatched
+from taleforge.llm.common import held, rebatched
 
 #: Runs, and pieces, that a worker keeps in each of two generations; the older one goes when the newer is full.
 CACHE = 200_000
@@ -293,16 +293,9 @@ class WordBpe:
         return b"".join([m[0] for m in made]), "".join([m[1] for m in made])[1:]
 
 
-_OPEN: dict[str, WordBpe] = {}
-
-
 def word_bpe(spec: str) -> WordBpe:
     """The worker's tokenizer for a file's content; one is kept."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = WordBpe(spec)
-    return _OPEN[key]
+    return held(f"word-bpe-{hashlib.sha256(spec.encode()).hexdigest()}", lambda: WordBpe(spec))
 
 
 def encode_table(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

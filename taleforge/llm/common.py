@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ _LOWERED[0x41:0x5B] = _BYTE[0x61:0x7B]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = []
+#: What a worker keeps between tasks: the tables of one operator.
+_HELD: dict[str, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +61,24 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go() -> None:
+    """Drop what the worker keeps, and give its free memory back to the system (where the allocators can)."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What make() returns, kept by the worker until a task of another operator begins."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from taleforge.llm.common import rebatched, stash
+from taleforge.llm.common import let_go, rebatched, stash
 
 #: Documents of each language that the model is fitted on at most.
 ROWS_PER_LANGUAGE = 1500
@@ -155,6 +155,7 @@ def _expected(train: DataFrame, model: LanguageModel, uniform: bool) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        let_go()
         pieces, n = Pieces(list(known.pieces)), len(known.languages)
         total = np.zeros((len(known.pieces) + 1, n))
         for batch in batches:
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, path: str, *, keep: Column, id_col: str = "doc_id", tex
 
 
 class _Scorer:
-    """A worker's model with its bounded table of runs between white space."""
+    """A task's model with its bounded table of runs between white space."""
 
     def __init__(self, model: LanguageModel) -> None:
         self.model, self.pieces = model, Pieces(list(model.pieces))
@@ -249,9 +250,6 @@ class _Scorer:
             yield bool(total.any()), total
 
 
-_OPEN: dict[int, _Scorer] = {}
-
-
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """docs with ``lang_pred`` and ``score`` (the language's share of the probability of all, 0 to 1).
 
@@ -265,10 +263,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        if id(known) not in _OPEN:
-            _OPEN.clear()
-            _OPEN[id(known)] = _Scorer(known)
-        scorer = _OPEN[id(known)]
+        let_go()
+        scorer = _Scorer(known)
         for batch in rebatched(batches, text_col):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             named, share = [], []

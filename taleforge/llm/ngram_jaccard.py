@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from taleforge.llm.common import binaries, discard, distinct_by_row, mix, rebatched, shingle_hashes, stash, text_bytes, word_hashes
+from taleforge.llm.common import binaries, discard, distinct_by_row, let_go, mix, rebatched, shingle_hashes, stash, text_bytes, word_hashes
 from taleforge.llm.graph import components
 
 #: Rows of a run that one side of a tile holds.
@@ -77,6 +77,7 @@ def _sketcher(text: str, n: int, num: int, den: int, common: tuple[np.ndarray, n
     shared, rank = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: set[int] = set()
         for batch in rebatched(batches, text):
             values, offsets = sets_of(batch, text, n)
@@ -256,6 +257,7 @@ def tile_pairs(
 
 def _tiler(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         rest: pa.Table | None = None
 
         def flush(t: pa.Table) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from taleforge.llm.bpe import byte_letters
-from taleforge.llm.common import rebatched, stash
+from taleforge.llm.common import held, rebatched, stash
 from taleforge.llm.cutting_stock import full_patterns, powers
 
 #: Runs between spaces that a worker keeps in each of two generations.
@@ -93,15 +93,8 @@ class ByteIds:
             return self.whole(text)
 
 
-_OPEN: dict[int, ByteIds] = {}
-
-
 def byte_ids(spec: str) -> ByteIds:
-    key = zlib.crc32(spec.encode())
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = ByteIds(spec)
-    return _OPEN[key]
+    return held(f"byte-ids-{zlib.crc32(spec.encode())}", lambda: ByteIds(spec))
 
 
 ITEMS = "__id bigint, tokens bigint, part int, row bigint, own bigint, crcs array<bigint>, r int, rank bigint, crc bigint, tail binary"

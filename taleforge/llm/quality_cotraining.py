@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from taleforge.llm.common import WHITE, distinct_by_row, rebatched, text_bytes, word_hashes
+from taleforge.llm.common import WHITE, distinct_by_row, let_go, rebatched, text_bytes, word_hashes
 
 #: Labelled and unlabelled rows that are fitted on at most.
 LABELLED, UNLABELLED = 8000, 8000
@@ -25,8 +25,10 @@ ROUNDS = 4
 HANDED, SURE = 400, 0.95
 HASHED = 64
 SOURCES = 32
+#: Bytes of text whose features are made at once: the scratch arrays hold some forty times as many.
+TEXT_BYTES = 1 << 20
 
-_CLASS = np.full(256, 5)  # of a byte: 0 lower, 1 upper, 2 digit, 3 white, 4 plain marks, 5 other marks, 6 beyond ASCII
+_CLASS = np.full(256, 5, np.uint8)  # of a byte: 0 lower, 1 upper, 2 digit, 3 white, 4 plain marks, 5 other marks, 6 beyond ASCII
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[WHITE], _CLASS[128:] = 0, 1, 2, 3, 6
 _CLASS[[ord(c) for c in ".,'-\""]] = 4
 
@@ -169,7 +171,8 @@ def co_train(text: np.ndarray, page: np.ndarray, label: np.ndarray, more_text: n
 
 def _features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, "text"):
+        let_go()
+        for batch in rebatched(batches, "text", TEXT_BYTES):
             t = text_view(batch.column("text"))
             p = page_view(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("n_chars").cast(pa.float64()).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes() for x in t], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in p], pa.binary()), batch.column("y")], names=["t", "p", "y"])
@@ -217,7 +220,8 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in rebatched(batches, "text"):
+        let_go()
+        for batch in rebatched(batches, "text", TEXT_BYTES):
             t = text_view(batch.column("text")).astype(np.float32).astype(float)
             p = page_view(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("n_chars").cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(np.float32).astype(float)
             a, b, both = known.scores(t, p)
