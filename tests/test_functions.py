@@ -107,6 +107,14 @@ def test_slugs_clocks_and_sizes(spark):
     assert table(spark, [(512,), (3 << 20,), (5 << 30,)], "n bigint", text.byte_size("n")) == ["0.5 KB", "3.0 MB", "5.0 GB"]
 
 
+def test_sizes_round_by_their_exact_value(spark):
+    """As printf does: ties go to even, and a double just below or above a tie is none."""
+    rng = random.Random(4)
+    sizes = [0.25 * 1024, 0.75 * 1024, 446.25 * 1024, 0.35 * 1024, 2.35 * 1024, 806.25 * 1048576, -0.25 * 1024, 1023.95 * 1024, 0.0] + [rng.randrange(1 << 20) / 20 * 1024 for _ in range(200)] + [rng.random() * 2**41 for _ in range(50)]
+    plain = lambda x: f"{x / 2**30:.1f} GB" if x >= 2**30 else f"{x / 2**20:.1f} MB" if x >= 2**20 else f"{x / 2**10:.1f} KB"
+    assert table(spark, [(x,) for x in sizes], "n double", text.byte_size("n")) == [plain(x) for x in sizes]
+
+
 def test_fences_traits_and_rounding(spark):
     assert table(spark, [("```json\n{}\n```",), (" {} ",), ("```\n[1]```",)], "t string", text.fence_stripped("t")) == ["{}", "{}", "[1]"]
     rows = [(["very masculine"], "male"), (["feminine", "calm"], "female"), (["masculine", "feminine"], "unknown"), ([], "unknown")]
