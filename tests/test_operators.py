@@ -5,6 +5,7 @@ import random
 import zipfile
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,17 @@ def test_dots_within_sentences(spark):
     assert spark.range(1).select(segments.sentences(F.lit(said)).alias("s")).head().s == ["Mr. Darcy paid 3.50 to J. Smith.", "“Why?", "” he asked...", "Then\nDr. No left!"]
 
 
+def test_traits_come_in_the_order_of_their_places(spark, tmp_path):
+    """Places beyond a chapter's hundred thousand, and a name's only profile that repeats a trait, equal the SQL."""
+    parts = [(150000, "hot bolt", "B", "SMALL", 1), (7, "hot bolt", "B", "PROMO", 2), (3, "large rod", "B", "LARGE", 1)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = rows(registry.QUERIES["trait_union_cap"](spark, str(tmp_path)))
+    with duckdb.connect() as c:
+        c.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+        assert got == sorted(c.execute(registry.ORACLES["trait_union_cap"]).fetchall(), key=repr)
+    assert got == [("hot bolt", "hot,bolt,promo,trait7,small,trait0"), ("large rod", "large,rod,trait3")]
+
+
 def test_a_capital_after_a_letter_beyond_ascii_holds_its_dot(spark):
     """As in the SQL, whose word boundaries are ASCII."""
     got = spark.range(1).select(segments.sentences(F.lit("FÜR. UND. MICIÓN. Ende.")).alias("s")).head().s
