@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taleforge.functions import text
 from taleforge.operators import entities, matching, models, progress, segments, timeline
 from taleforge.plans import registry
+from taleforge.plans.dressing import CHARS
 from taleforge.sources import readers
 from taleforge.streaming import runs
 
@@ -69,6 +70,33 @@ def test_links_of_names_count_every_pair_of_copies(spark, monkeypatch):
     assert got == sorted(((i, min(j for j in keys if keys[j] == k), sum(i in p for p in pairs)) for i, k in keys.items()), key=repr) and len(pairs) > 100
 
 
+def test_links_of_orphans_count_every_pair(spark):
+    rng = random.Random(6)
+    cast = [(i, rng.choice(["Ann", "Ann Lee", " Bo "]), ["x"] * rng.randrange(3), rng.choice(["male", "female", "other", None]), rng.random() < 0.8) for i in range(80)]
+    df = spark.createDataFrame(cast, "idx bigint, name string, aliases array<string>, gender string, is_named boolean")
+    judged = spark.createDataFrame([(rng.randrange(90), rng.randrange(90)) for _ in range(600)], "a bigint, b bigint")
+    pairs = [tuple(p) for p in entities.orphan_pairs(df, judged).collect()]
+    got = {r.idx: r for r in entities.orphan_links(df, judged).collect()}
+    assert len(got) == 80 and len(pairs) > 100
+    for i, name, aliases, gender, named in cast:
+        r = got[i]
+        assert r.orphan == (named and len(name.split()) == 1 and len(aliases) <= 1)
+        assert r.class_id == min((c[0] for c in cast if c[4] and c[3] == gender), default=None) if named and gender else r.class_id is None
+        assert (r.n_links, r.n_asked) == (sum(p[0] == i for p in pairs), sum(p[1] == i for p in pairs))
+
+
+def test_orphan_query_equals_sql_over_all_pairs(spark):
+    d = "/root/testdata/sf0.001"
+    pairs = f"""with {CHARS}, p as (select idx, case when idx % 40 = 3 then split_part(name, ' ', 1) else name end as name, gender, is_named from chars), o as (select * from p where is_named and not contains(name, ' '))
+      select o.idx, p.idx other from o join p on p.gender = o.gender and p.is_named and p.idx <> o.idx where not (abs(o.idx - p.idx) = 6)"""
+    with duckdb.connect() as c:
+        c.execute(f"create view part as select * from '{d}/part.parquet'")
+        found = c.execute(pairs).fetchall()
+        assert rows(registry.QUERIES["orphan_pairs"](spark, d)) == sorted(c.execute(registry.ORACLES["orphan_pairs"]).fetchall(), key=repr)
+    got = registry.QUERIES["orphan_pairs"](spark, d).collect()
+    assert found and {r.idx: (r.n_links, r.n_asked) for r in got} == {r.idx: (sum(f[0] == r.idx for f in found), sum(f[1] == r.idx for f in found)) for r in got}
+
+
 def test_fuzzy_candidates_lose_no_pair(spark):
     rng = random.Random(5)
     names = ["".join(rng.choices("aabcde 12", k=rng.randrange(3, 16))) for _ in range(150)]
